@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import amount_bin, amount_bins, time_bin, time_bins
@@ -17,23 +17,34 @@ _BIN_DAYS = 16
 
 
 def tolerance_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], pct: float, days: int, floor_days: bool = True
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    pct: float,
+    days: int,
+    floor_days: bool = True,
+    bin_days: int = _BIN_DAYS,
+    widths: float = 3,
+    reach: Column | None = None,
 ) -> DataFrame:
     """Pairs with equal ``on`` columns, amounts within ``pct`` of the left amount and dates within ``days``.
 
     ``left`` has (l_amount, l_date, ...), ``right`` has (r_amount, r_date, ...). The join key is ``on`` plus a
     date bin and a logarithmic amount bin, so a hot vendor spreads over its dates and amounts; the left
-    side is repeated for the bins it can reach (about two in all) and the exact predicate decides.
+    side is repeated for the bins it can reach (about two in all with the default bins) and the exact
+    predicate decides. Narrow bins (``bin_days``, ``widths``) suit joins without another key, where cells are
+    dense. ``reach``: whole days per left row, if it needs to look less far than ``days``.
     """
+    around = F.lit(days + 1) if reach is None else F.least(reach, F.lit(days)) + 1
     probe = (
-        left.withColumn("_day", F.explode(time_bins("l_date", days + 1, days + 1, _BIN_DAYS)))
-        .withColumn("_mag", F.explode(amount_bins("l_amount", pct)))
+        left.withColumn("_day", F.explode(time_bins("l_date", around, around, bin_days)))
+        .withColumn("_mag", F.explode(amount_bins("l_amount", pct, widths)))
         .withColumn("_sign", F.signum("l_amount"))
     )
     build = right.withColumns(
         {
-            "_day": time_bin("r_date", _BIN_DAYS),
-            "_mag": amount_bin("r_amount", pct),
+            "_day": time_bin("r_date", bin_days),
+            "_mag": amount_bin("r_amount", pct, widths),
             "_sign": F.signum("r_amount"),
         }
     )

@@ -852,21 +852,17 @@ def anomaly_score(spark, root):
     return out.select("txn_id", "anomaly_score", joined("reasons"), "high_risk")
 
 
-def _forest(spark, root):
-    features = anomaly.anomaly_features(tb.cards(spark, root))
-    return iforest.isolation_forest_fit(features), features
-
-
 @query("isolation_forest_score")
 def isolation_forest_score(spark, root):
-    forest, features = _forest(spark, root)
-    return forest.score(features).withColumn("anomaly_score", F.round("anomaly_score", 6))
+    features = anomaly.anomaly_features(tb.cards(spark, root))
+    _, scores = iforest.isolation_forest_fit_score(features)
+    return scores.withColumn("anomaly_score", F.round("anomaly_score", 6))
 
 
 @query("isolation_forest_fit")
 def isolation_forest_fit(spark, root):
     """Shape of the fitted trees: nodes and leaves per tree."""
-    forest, _ = _forest(spark, root)
+    forest = iforest.isolation_forest_fit(anomaly.anomaly_features(tb.cards(spark, root)))
     rows = [(t[0], len(t[1]), sum(1 for f in t[1] if f < 0)) for t in forest.trees]
     return spark.createDataFrame(rows, "tree int, nodes int, leaves int")
 
