@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import cut
 from ..functions.columns import hash_fraction
 from ..functions.skew import join_unique, number_rows
 
@@ -40,7 +41,7 @@ def _fraction(seed: int, purpose: str, *parts: Column) -> Column:
 def _chosen(seed: int, purpose: str, ids: DataFrame, keys: list[str]) -> DataFrame:
     """ids (with keys) and their rank by hash."""
     hashed = ids.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.lit(purpose), F.col("expense_id"))))
-    return number_rows(hashed, keys, ["_h", "expense_id"], "rank").drop("_h")
+    return cut(number_rows(hashed, keys, ["_h", "expense_id"], "rank").drop("_h"))
 
 
 def corrupt_missing(cards: DataFrame, rate: float = 0.15, seed: int = 42) -> Corrupted:
@@ -60,6 +61,7 @@ def corrupt_missing(cards: DataFrame, rate: float = 0.15, seed: int = 42) -> Cor
     picked = picked.withColumn(
         "nulled", F.when(kind < 0.5, F.lit("merchant")).when(kind < 0.8, F.lit("amount")).otherwise(F.lit("merchant,expense_date"))
     )
+    picked = cut(picked)
     joined = join_unique(cards, picked, ["expense_id"])
     data = joined.withColumns(
         {

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import amount_bin, amount_bins, time_bin, time_bins
-from ..functions.columns import clean_number, days_apart, relative_gap
+from ..functions.columns import DAY_US, clean_number, days_apart, micros, relative_gap
 from ..functions.skew import join_unique
 from ..params import MatchParams, ReceiptParams
 
@@ -32,7 +32,8 @@ def tolerance_join(
     ``left`` has (l_amount, l_date, ...), ``right`` has (r_amount, r_date, ...). The join key is ``on`` plus a
     date bin and a logarithmic amount bin, so a hot vendor spreads over its dates and amounts; the left
     side is repeated for the bins it can reach (about two in all with the default bins) and the exact
-    predicate decides. Narrow bins (``bin_days``, ``widths``) suit joins without another key, where cells are
+    predicate decides. ``floor_days``: days are whole days rounded down (a gap of -3.5 counts 4, +3.9 counts 3);
+    otherwise exactly ``days`` to both sides. Narrow bins (``bin_days``, ``widths``) suit joins without another key, where cells are
     dense. ``reach``: whole days per left row, if it needs to look less far than ``days``.
     """
     around = F.lit(days + 1) if reach is None else F.least(reach, F.lit(days)) + 1
@@ -48,11 +49,10 @@ def tolerance_join(
             "_sign": F.signum("r_amount"),
         }
     )
-    if floor_days:
-        near = days_apart("l_date", "r_date") <= days
-    else:
-        span = F.expr(f"interval {days} days")
-        near = F.col("r_date").between(F.col("l_date") - span, F.col("l_date") + span)
+    # whole days rounded down, then absolute, is at most d: -d days <= difference < d + 1 days
+    ahead = micros("l_date") - micros("r_date")
+    limit = days * DAY_US
+    near = (ahead >= -limit) & (ahead < limit + DAY_US if floor_days else ahead <= limit)
     close = relative_gap("l_amount", "r_amount") <= pct
     return probe.join(build, [*on, "_day", "_mag", "_sign"]).filter(near & close).drop("_day", "_mag", "_sign")
 
