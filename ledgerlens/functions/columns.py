@@ -68,6 +68,6 @@ def points_where(pairs: Sequence[tuple[Column, float]]) -> Column:
 
 
 def money(c: str | Column) -> Column:
-    """Two decimals; NULL prints as nan."""
-    c = col(c)
+    """Two decimals; a missing number prints as nan."""
+    c = clean_number(c)
     return F.when(c.isNotNull(), F.format_string("%.2f", c)).otherwise(F.lit("nan"))

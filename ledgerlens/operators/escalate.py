@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import labels_where, money, points_where
+from ..functions.columns import clean_number, labels_where, money, points_where
 from ..functions.skew import join_unique
 from ..params import EXPLANATIONS, FALLBACK_EXPLANATION, FULL_SEVERITY, TOOL_SEVERITY, SeverityParams
 from .anomaly import rolling_deviation
@@ -40,8 +40,8 @@ def severity_live(txns: DataFrame, p: SeverityParams = SeverityParams()) -> Data
     Dropped: rows without a factor, and rows whose only factor is a missing match below the high amount.
     A missing amount is neither high nor small.
     """
-    high = F.coalesce(F.col("amount") >= p.high_amount, F.lit(False))
-    small = F.coalesce(F.col("amount") < p.high_amount, F.lit(False))
+    high = F.coalesce(clean_number("amount") >= p.high_amount, F.lit(False))
+    small = F.coalesce(clean_number("amount") < p.high_amount, F.lit(False))
     scored = _score(
         txns,
         [
@@ -63,7 +63,7 @@ def severity_tool(txns: DataFrame, p: SeverityParams = TOOL_SEVERITY) -> DataFra
         [
             (~_true("matched"), "no_reconciliation_match"),
             (_true("incomplete"), "incomplete_data"),
-            (F.coalesce(F.col("amount") > p.high_amount, F.lit(False)), "high_amount"),
+            (F.coalesce(clean_number("amount") > p.high_amount, F.lit(False)), "high_amount"),
         ],
         p,
     )
@@ -130,7 +130,7 @@ def escalation_rules(
     after = F.when(down, F.lit("INFO")).otherwise(level)
     small = F.coalesce(F.col("amount") < auto_approve_below, F.lit(False))
     eligible = (after if mode == "live" else level) == "INFO"
-    notice = (level == "CRITICAL") & F.coalesce(F.col("amount") > cfo_above, F.lit(False))
+    notice = (level == "CRITICAL") & F.coalesce(clean_number("amount") > cfo_above, F.lit(False))
     final = F.when(eligible & small, F.lit("AUTO_APPROVED")).otherwise(after)
     return listed.withColumns({"cfo_notice": notice, "severity_level": final}).drop("_listed").select(
         *scored.columns, "cfo_notice"

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import missing
+from ..functions.columns import clean_number, missing
 from ..functions.skew import join_unique
 from ..params import LIVE_REQUIRED_FIELDS
 
@@ -31,7 +31,7 @@ def incomplete_rows(df: DataFrame, fields: Sequence[str] = LIVE_REQUIRED_FIELDS)
 
 def high_value_unreconciled(txns: DataFrame, unmatched_ids: DataFrame, min_amount: float = 5000.0) -> DataFrame:
     """Rows of at least ``min_amount`` that the reconciliation did not already report as unmatched."""
-    large = txns.filter(F.coalesce(F.col("amount") >= min_amount, F.lit(False)))
+    large = txns.filter(F.coalesce(clean_number("amount") >= min_amount, F.lit(False)))
     return join_unique(large, unmatched_ids.select("txn_id").distinct(), ["txn_id"], "left_anti")
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import clean_number
 from ..operators.escalate import audit_summary, create_flags, escalation_rules, explain, severity_live
 from ..operators.filters import is_incomplete
 from ..operators.matching import match_one_to_one
@@ -31,6 +32,7 @@ def transaction_findings(cards: DataFrame, pairs: DataFrame, high_amount: float
     matched ids come from a single join on a unique key. Amounts of at least ``high_amount`` count as
     unmatched even if a partner exists.
     """
+    cards = cards.withColumn("amount", clean_number("amount"))
     per_txn = cards.groupBy("txn_id").agg(
         F.count("*").alias("rows"),
         F.max(is_incomplete(cards)).alias("is_incomplete"),
