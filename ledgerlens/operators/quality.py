@@ -63,13 +63,12 @@ def schema_violations(df: DataFrame, expected: dict[str, str]) -> DataFrame:
     schema = "field string, error string, details string"
     declared = spark.createDataFrame(facts, schema)
     counts = df.agg(F.count("*").alias("_rows"), *[c.alias(f"_bad_{f}") for f, c in casts])
-    pairs = [F.struct(F.lit(f).alias("field"), F.col(f"_bad_{f}").alias("bad_values")) for f, _ in casts]
-    if pairs:
-        per_field = counts.filter("_rows > 0").select(F.inline(F.array(*pairs)))
-    else:
-        per_field = spark.createDataFrame([], "field string, bad_values bigint")
     # an empty table has no violations
     filled = F.coalesce(counts.select("_rows").scalar(), F.lit(0)) > 0
+    if not casts:
+        return declared.filter(filled).withColumn("bad_values", F.lit(0).cast("bigint"))
+    pairs = [F.struct(F.lit(f).alias("field"), F.col(f"_bad_{f}").alias("bad_values")) for f, _ in casts]
+    per_field = counts.select(F.inline(F.array(*pairs)))  # one row per expected field
     joined = declared.join(F.broadcast(per_field), "field", "left").filter(filled)
     return joined.select("field", "error", "details", F.coalesce("bad_values", F.lit(0)).alias("bad_values"))
 
