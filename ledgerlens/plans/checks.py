@@ -59,6 +59,12 @@ def second(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
+def rounded(c: str, digits: int):
+    """A mean can lie exactly between two rounded values, where the order of its sum decides; the small shift
+    (the same in the SQL) sends both sides the same way."""
+    return F.round(F.col(c) + F.lit(1e-9), digits).alias(c)
+
+
 def joined(c: str):
     return F.array_join(c, ",").alias(c)
 
@@ -725,14 +731,14 @@ def anomaly_features(spark, root):
         "with d as (select vendor_id, date, date_diff('day', lag(date) over (partition by vendor_id order by date), date) as gap "
         "from (select distinct vendor_id, date from cards where date is not null)), "
         "m as (select vendor_id, avg(amount) as mean from cards group by vendor_id) "
-        "select txn_id, gap::int as days_since_previous, round(amount - mean, 4) as amount_minus_vendor_mean "
+        "select txn_id, gap::int as days_since_previous, round(amount - mean + 1e-9, 4) as amount_minus_vendor_mean "
         "from cards c left join d on c.vendor_id = d.vendor_id and c.date = d.date join m on m.vendor_id = c.vendor_id",
         "cards",
     ),
 )
 def vendor_history_features(spark, root):
     out = anomaly.vendor_history_features(tb.cards(spark, root))
-    return out.withColumn("amount_minus_vendor_mean", F.round("amount_minus_vendor_mean", 4))
+    return out.withColumn("amount_minus_vendor_mean", rounded("amount_minus_vendor_mean", 4))
 
 
 _PROFILE_SQL = (
@@ -747,16 +753,16 @@ _PROFILE_SQL = (
     sql(
         f"with {_PROFILE_SQL}, dom as (select vendor_id, d from (select vendor_id, d, row_number() over (partition by vendor_id "
         "order by n desc, d) as r from (select vendor_id, day(date) as d, count(*) as n from cards where date is not null "
-        "group by 1, 2)) where r = 1) select vendor_id, vendor_name, round(mean_amount, 4) as mean_amount, "
-        "round(std_dev, 4) as std_dev, round(frequency, 4) as frequency, d::int as typical_day_of_month, "
+        "group by 1, 2)) where r = 1) select vendor_id, vendor_name, round(mean_amount + 1e-9, 4) as mean_amount, "
+        "round(std_dev + 1e-9, 4) as std_dev, round(frequency, 4) as frequency, d::int as typical_day_of_month, "
         "strftime(last_transaction_date, '%Y-%m-%d') as last_transaction_date from profiles left join dom using (vendor_id)",
         "cards",
     ),
 )
 def build_vendor_profiles(spark, root):
     out = anomaly.build_vendor_profiles(tb.cards(spark, root))
-    rounded = {c: F.round(c, 4) for c in ("mean_amount", "std_dev", "frequency")}
-    return out.withColumns(rounded).withColumn("last_transaction_date", day("last_transaction_date"))
+    exact = {"mean_amount": rounded("mean_amount", 4), "std_dev": rounded("std_dev", 4), "frequency": F.round("frequency", 4)}
+    return out.withColumns(exact).withColumn("last_transaction_date", day("last_transaction_date"))
 
 
 @query(
