@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, exact, licenses, tokenids
+from ledgerlens.llm import bpe, chunks, exact, language, licenses, ngram_join, pages, pii, tokenids
 from ledgerlens.llm.common import new_path, table
 
 
@@ -30,10 +30,39 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_spans(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.fit_spans(docs)).drop("text")
+    strict = F.filter("spans", lambda s: s["strict"])
+    count = lambda kind: F.size(F.filter(strict, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *map(count, pii.KINDS[:4]), F.sha2(listed(strict), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit_languages(docs, language.fold(F.col("doc_id")) != 0)
+    found = language.identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (language.fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "languages")
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages")
+    return pages.extract_text(rows, pages.fit_pages(rows)).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
@@ -41,7 +70,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_bpe": op2_bpe,
+    "op3_chunk_dedup": op3_chunk_dedup,
+    "op4_personal_data": op4_personal_data,
+    "op5_ngram_join": op5_ngram_join,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_languages": op8_languages,
+    "op9_main_text": op9_main_text,
     "op10_licenses": op10_licenses,
 }
 ORACLES: dict[str, str] = {"op6_exact_dedup": exact.SQL, "op10_licenses": licenses.sql()}
