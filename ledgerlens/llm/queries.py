@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chunks, exact, language, licenses, ngram_join, pages, pii, tokenids
+from ledgerlens.llm import bpe, chunks, exact, language, latent, licenses, ngram_join, pages, pii, tokenids
 from ledgerlens.llm.common import new_path, table
 
 
@@ -51,6 +51,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return latent.find_leaks(docs, table(spark, sf_dir, "benchmark"), latent.fit_space(docs))
+
+
 def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit_languages(docs, language.fold(F.col("doc_id")) != 0)
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_personal_data": op4_personal_data,
     "op5_ngram_join": op5_ngram_join,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_languages": op8_languages,
     "op9_main_text": op9_main_text,
     "op10_licenses": op10_licenses,
