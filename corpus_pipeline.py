@@ -3,10 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerlens.llm import bpe, exact, language, latent, ngram_join, queries
 from ledgerlens.llm.common import table, written
 
-STAGES = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled rows teach; texts without letters go. The model learns from the same folds as op8."""
+    model = language.fit_languages(docs, language.fold(F.col("doc_id")) != 0)
+    found = language.identify_languages(docs, model)
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts (white space apart)."""
+    kept = exact.exact_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least doc_id, of each group linked by five-word shingles at a similarity of 0.8."""
+    found = ngram_join.ngram_components(docs, size=5, percent=80)
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    leaks = latent.find_leaks(docs, table(spark, sf_dir, "benchmark"), latent.fit_space(docs))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents that are left."""
+    words = queries.vocabulary("word_bpe_49k.json")
+    return bpe.bpe_encode(docs.select("doc_id", "text", "lang", "source"), words).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("language id", language_id),
+    ("exact dedup", exact_dedup),
+    ("n-gram jaccard join", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("bpe", tokenize),
+]
+#: Languages, trie groups, retrieval and tokens have no SQL.
 ORACLE_SQL = None
 
 
