@@ -79,11 +79,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     meets the digests in an equi join; Spark broadcasts it only below its own size limit. Null and empty texts match no
     licence. Rows that repeat doc_id and text all stay. Extra columns are not read.
     """
-    units = docs.select(
-        F.col("doc_id").cast("long"),
-        F.sha2(canonical(F.col("text")), 256).alias("text_digest"),
-        F.explode(F.concat(F.array(F.lit(None).cast("string")), F.split(F.coalesce("text", F.lit("")), "\n"))).alias("line"),
-    )
+    texts = docs.select(F.col("doc_id").cast("long"), F.sha2(canonical(F.col("text")), 256).alias("text_digest"), F.coalesce("text", F.lit("")).alias("text"))
+    units = texts.select("doc_id", "text_digest", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.split("text", "\n"))).alias("line"))
     units = units.withColumn("digest", F.when(F.col("line").isNull(), F.col("text_digest")).otherwise(F.sha2(canonical(F.col("line")), 256)))
     whole = F.col("line").isNull()
     found = units.join(known, "digest", "left").groupBy("doc_id", "text_digest").agg(
