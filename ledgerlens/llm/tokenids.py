@@ -24,13 +24,14 @@ from tokenizers import Tokenizer
 from ledgerlens.llm.common import slices
 
 #: Ids per block, about; a block ends with the document that reaches it.
-BLOCK_IDS = 1_000_000
+BLOCK_IDS = 250_000
 #: Every so many documents the place of the boundary's set bit is kept.
 SAMPLED = 64
-KEPT = 400_000
+#: Encoded pieces kept per Python worker before they are dropped (about 200 bytes each; it only saves time).
+KEPT = 250_000
 _HEAD = "<QQB"
 #: Before a single blank between two other characters no token of the split pattern can cross.
-_ODD_SPACE = re.compile(r"[^\S \n]|\0")
+_ODD_SPACE = re.compile(r" [\s\0]|[^\S ] |\0")
 _CUT = re.compile(r"(?<=\S)(?= [^\s\0])")
 
 BLOCKS = T.StructType(
@@ -99,15 +100,17 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = "<u2" if self.width == 2 else "<u4"
-        special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special and not (t[1].lstrip or t[1].rstrip or t[1].single_word)]
-        # a special token between pieces keeps them apart, so that many pieces make one call
-        self.mark = (special[0][0], special[0][1].content) if special else None
-        self.store: dict[str, bytes] = {}
+        self.tokenizer.model._resize_cache(0)  # each piece comes once
+        blank = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.opens = np.array([t.startswith("\u0120") for t in blank])  # tokens that begin with a blank
+        # pieces met once, and pieces met again
+        self.seen: dict[str, bytes] = {}
+        self.often: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         """Cut before single blanks; a piece that starts at a blank comes without it, the first one with a leading mark."""
-        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _ODD_SPACE.search(text):
+        if "  " in text or text[0] == " " or text[-1] == " " or _ODD_SPACE.search(text):
             first, *rest = _CUT.split(text)
             return ["\0" + first, *[p[1:] for p in rest]]
         parts = text.split(" ")
@@ -115,37 +118,52 @@ class PieceEncoder:
         return parts
 
     def _ask(self, pieces: list[str]) -> list[bytes]:
-        texts = [p[1:] if p[:1] == "\0" else " " + p for p in pieces]
-        if self.mark and not any("<|" in t for t in texts):
-            number, mark = self.mark
-            ids = np.array(self.tokenizer.encode_batch_fast([mark.join(texts)], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = np.flatnonzero(ids == number)
-            if len(cuts) == len(texts) - 1:
-                blob, width = ids.tobytes(), self.width
-                starts, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(blob)]
-                return [blob[a:b] for a, b in zip(starts, ends, strict=True)]
-        return [np.array(m.ids, self.dtype).tobytes() for m in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of pieces. Those with a blank in front and none inside make one call: their first tokens alone open with a blank."""
+        out: dict[str, bytes] = {}
+        plain = [p for p in pieces if p[0] != "\0" and " " not in p and "<|" not in p and not p[-1].isspace()]
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(plain):
+                blob, cuts = ids.tobytes(), [*(starts * self.width).tolist(), len(ids) * self.width]
+                out = {p: blob[a:b] for p, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True)}
+        rest = [p for p in pieces if p not in out]
+        texts = [p[1:] if p[:1] == "\0" else " " + p for p in rest]
+        out.update((p, np.array(m.ids, self.dtype).tobytes()) for p, m in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True))
+        return [out[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian numbers of ``width`` bytes."""
-        if len(self.store) > KEPT:
-            self.store.clear()
-        store = self.store
-        cut = [self.pieces(t) if t else [] for t in texts]
-        got = [list(map(store.get, c)) for c in cut]
+        often, seen = self.often, self.seen
+        if len(often) > KEPT:
+            often.clear()
+        if len(seen) > KEPT:
+            seen.clear()
         fresh: dict[str, bytes] = {}
-        for c, g in zip(cut, got, strict=True):
-            if None in g:
-                fresh.update((p, b"") for p, i in zip(c, g, strict=True) if i is None)
+        rows, holes = [], []
+        for text in texts:
+            parts = self.pieces(text) if text else []
+            got = list(map(often.get, parts))
+            rows.append(got)
+            if None in got:
+                for i, (piece, ids) in enumerate(zip(parts, got, strict=True)):
+                    if ids is None:
+                        ids = seen.get(piece)
+                        if ids is None:
+                            fresh[piece] = b""
+                            holes.append((got, i, piece))
+                        else:
+                            got[i] = ids
+                            if len(piece) < 64:
+                                often[piece] = ids
         names = list(fresh)
         for start in range(0, len(names), 2_000):
             some = names[start : start + 2_000]
             fresh.update(zip(some, self._ask(some), strict=True))
-        for c, g in zip(cut, got, strict=True):
-            if None in g:
-                g[:] = [fresh[p] if i is None else i for p, i in zip(c, g, strict=True)]
-        store.update((p, i) for p, i in fresh.items() if len(p) < 64)
-        return [b"".join(g) for g in got]
+        for got, i, piece in holes:
+            got[i] = fresh[piece]
+        seen.update(fresh)
+        return [b"".join(got) for got in rows]
 
 
 @lru_cache(maxsize=2)
@@ -210,7 +228,7 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
                 flat = np.frombuffer(ids, "<u2" if width == 2 else "<u4").astype("<u4")
                 numbers = np.frombuffer(docs, "<i8")
                 nulls = np.unpackbits(np.frombuffer(known, np.uint8), count=count) == 0
-                cuts = np.searchsorted(ends, np.arange(0, ends[-1] + 250_000, 250_000), "right")
+                cuts = np.searchsorted(ends, np.arange(0, ends[-1] + 100_000, 100_000), "right")
                 for a, b in zip(cuts[:-1], [*cuts[1:-1], count], strict=True):
                     if b > a:
                         texts = [flat[s:e].tobytes() for s, e in zip(starts[a:b], ends[a:b], strict=True)]
