@@ -49,6 +49,8 @@ KNOWN = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("per cent", "percent"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("organisation", "organization"), ("favour", "favor")]
+#: Known digests that are sent to every executor, at most (about 100 bytes each).
+BROADCAST_ROWS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COPYRIGHT = r"(^|\n)[ \t]*(?:copyright[ \t]+(?:\(c\)|©|[0-9])|(?:\(c\)|©)[ \t]*[0-9a-z]|all rights reserved)[^\n]*"
 _MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©‘’“”–—]+"
@@ -76,13 +78,16 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     ``license_id``: the licence whose canonical text is the whole canonical text of the row. ``line_licenses``: the
     licences whose canonical text is one whole line of it, sorted and comma-joined, empty if none. ``known`` (license_id, digest)
-    meets the digests in an equi join; Spark broadcasts it only below its own size limit. Null and empty texts match no
+    meets the digests in a hash join; it is broadcast if it is counted to have at most BROADCAST_ROWS rows, else both sides are
+    shuffled. Null and empty texts match no
     licence. Rows that repeat doc_id and text all stay. Extra columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.sha2(canonical(F.col("text")), 256).alias("text_digest"), F.coalesce("text", F.lit("")).alias("text"))
     units = texts.select("doc_id", "text_digest", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.split("text", "\n"))).alias("line"))
-    units = units.withColumn("digest", F.when(F.col("line").isNull(), F.col("text_digest")).otherwise(F.sha2(canonical(F.col("line")), 256)))
-    whole = F.col("line").isNull()
+    whole = F.col("whole")
+    units = units.select("doc_id", "text_digest", F.col("line").isNull().alias("whole"), F.when(F.col("line").isNull(), F.col("text_digest")).otherwise(F.sha2(canonical(F.col("line")), 256)).alias("digest"))
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
     found = units.join(known, "digest", "left").groupBy("doc_id", "text_digest").agg(
         F.count_if(whole).alias("copies"),
         F.max(F.when(whole, F.col("license_id"))).alias("license_id"),
