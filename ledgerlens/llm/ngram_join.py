@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import components, slices, written
@@ -53,7 +53,7 @@ def ngram_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def shared_hashes(sets: DataFrame, buckets: int) -> DataFrame:
-    """doc_id and hashes: those of its prefix that stand in other rows' prefixes too, in several rows of the result."""
+    """(doc_id, token): each hash of a row's prefix that stands in another row's prefix too."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(docs: np.ndarray, hashes: np.ndarray, resolved: bool) -> Iterator[pa.RecordBatch]:
@@ -105,14 +105,10 @@ def shared_hashes(sets: DataFrame, buckets: int) -> DataFrame:
             keep &= d >= 0
             done.append((d[keep], h[keep]))
         d, h = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(d, kind="stable")
-        d, h = d[order], h[order]
-        names, at = np.unique(d, return_index=True)
-        cuts = [*at.tolist(), len(d)]
-        return pa.table({"doc_id": pa.array(names, pa.int64()), "hashes": pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        return pa.table({"doc_id": pa.array(d, pa.int64()), "token": pa.array(h.view(np.int64))})
 
     dealt = sets.select("doc_id", "prefix").mapInArrow(deal, "bucket int, resolved boolean, docs binary, hashes binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "doc_id long, hashes binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "doc_id long, token long")
 
 
 def trie_components(names: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -220,12 +216,12 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     buckets = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_HASHES) + 1)
     least = F.greatest(F.lit(1), F.ceil(F.col("n") * (100 - percent) * percent / 10000 - 1e-9))
     # a document counts as shared by as many of its hashes as needed; then equal sets become one class
-    shared = shared_hashes(usable, buckets).groupBy("doc_id").agg((F.sum(F.octet_length("hashes")) / 8).alias("common"), F.collect_list("hashes").alias("hashes"))
+    shared = shared_hashes(usable, buckets).groupBy("doc_id").agg(F.count("*").alias("common"), F.collect_list("token").alias("tokens"))
     alike = written(shared.join(slim.where("n > 0").dropDuplicates(["doc_id", "digest"]), "doc_id").where(F.col("common") >= least), "ngram-alike")
     classes = slim.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
     tokens = (
         alike.join(alike.groupBy("digest").agg(F.min("doc_id").alias("node")), "digest").where("doc_id = node")
-        .select("node", "n", F.explode(F.flatten(F.transform("hashes", _split))).alias("token"))
+        .select("node", "n", F.explode("tokens").alias("token"))
     )
     tokens = written(tokens.distinct(), "ngram-tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("pivot")).where("df > 1")
@@ -244,11 +240,6 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     return slim.join(roots, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _split(blob: Column) -> Column:
-    """The 8-byte numbers of a binary value."""
-    return F.transform(F.sequence(F.lit(0), (F.octet_length(blob) / 8).cast("int") - 1), lambda i: F.substring(blob, i * 8 + 1, F.lit(8)))
-
-
 def _group_links(docs: DataFrame, grouped: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v) ties between the members of each candidate group that are in one component, from tries over their whole sets."""
 
@@ -266,7 +257,8 @@ def _group_links(docs: DataFrame, grouped: DataFrame, size: int, percent: int) -
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
     groups = grouped.select("node", F.col("root").alias("grp"))
-    sets = written(texts.join(groups, "node").select("grp", "node", "text").mapInArrow(full, "grp long, node long, n long, hashes binary").where("n > 0"), "ngram-full")
+    # the groups grow with the table, so they are never broadcast: the same plan at every size
+    sets = written(texts.join(groups.hint("merge"), "node").select("grp", "node", "text").mapInArrow(full, "grp long, node long, n long, hashes binary").where("n > 0"), "ngram-full")
     # classes of length: only neighbours can link; a class is dealt into as many blocks as its hashes need
     length = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.0001 * math.log(100 / percent)))
     sets = sets.withColumn("len", length)
