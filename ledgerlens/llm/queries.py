@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, chunks, exact, language, latent, licenses, ngram_join, pages, pii, tokenids
+from ledgerlens.llm import bpe, chunks, conversations, exact, language, latent, licenses, manifest, ngram_join, pages, pii, simhash, tokenids
 from ledgerlens.llm.common import new_path, table
 
 
@@ -72,6 +72,23 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(manifest.tampered(F.col("doc_id")), manifest.leaf_digest(n_chars=F.col("n_chars") + 1))
+    made = manifest.build_manifest(table(spark, sf_dir, "documents"), {"changed": changed})
+    proofs = manifest.prove(made, made.leaves.withColumn("claim", F.coalesce("changed", "leaf")).drop("changed"), "claim")
+    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = conversations.repair_conversations(conversations.damaged(table(spark, sf_dir, "conversations")))
+    return made.conversations.join(conversations.text_digests(made.pieces), "conv").select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_bpe": op2_bpe,
@@ -83,5 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_languages": op8_languages,
     "op9_main_text": op9_main_text,
     "op10_licenses": op10_licenses,
+    "op11_simhash": op11_simhash,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLES: dict[str, str] = {"op6_exact_dedup": exact.SQL, "op10_licenses": licenses.sql()}
+ORACLES: dict[str, str] = {"op6_exact_dedup": exact.SQL, "op10_licenses": licenses.sql(), "op12_merkle_manifest": manifest.SQL, "op13_conversation_repair": conversations.SQL}
