@@ -83,7 +83,7 @@ def numbered(df: DataFrame, tree: str, order: list[str], label: str) -> DataFram
     own = Window.partitionBy(tree)
     before = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy(tree, "part").agg(F.count("*").alias("rows"))
-    bases = counts.select(tree, "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"), F.sum("rows").over(own).alias("n"))
+    bases = written(counts.select(tree, "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"), F.sum("rows").over(own).alias("n")), f"{label}-bases")
     return placed.join(bases, [tree, "part"]).withColumn("pos", F.col("base") + F.col("i")).drop("part", "i", "base")
 
 
@@ -201,44 +201,53 @@ def prove(manifest: Manifest, claims: DataFrame, claim: str = "leaf") -> DataFra
     proof) and verified (equal to the root of the manifest). One fetch for each block of leaves, of the fewest nodes.
     """
     bits, root = manifest.bits, manifest.root
-    block = F.shiftright("pos", bits)
-    wanted = claims.join(manifest.trees.select("tree", "top_pos", "top_n"), "tree").withColumn("block", block)
+    wanted = claims.withColumn("block", F.shiftright("pos", bits))
 
     def coordinates(group: pa.Table) -> pa.Table:
-        tree, n, top_pos, top_n, number = (group.column(c)[0].as_py() for c in ("tree", "n", "top_pos", "top_n", "block"))
-        own = missing_nodes(group.column("pos").to_pylist(), n)
-        above = missing_nodes([top_pos], top_n)
-        return pa.table(
-            {
-                "tree": pa.array([tree] * (len(own) + len(above)), pa.string()),
-                "block": pa.array([number] * (len(own) + len(above)), pa.int64()),
-                "at": pa.array([tree] * len(own) + [TOP] * len(above), pa.string()),
-                "level": pa.array([level for level, _ in own + above], pa.int32()),
-                "idx": pa.array([i for _, i in own + above], pa.int64()),
-            }
-        )
-
-    asked = wanted.select("tree", "block", "pos", "n", "top_pos", "top_n").groupBy("tree", "block")
-    needs = written(asked.applyInArrow(coordinates, "tree string, block long, at string, level int, idx long"), "manifest-missing")
-    # band 0 holds the levels 0 to bits, each later one the next ``bits`` levels
-    band = F.greatest(F.lit(0), F.floor((F.col("level") - 1) / F.lit(bits)))
-    used = sorted(r.band for r in needs.select(band.alias("band")).distinct().collect())
-    fetched = manifest.bands[0].where("false").select("tree", F.lit(0).cast("long").alias("block"), F.col("tree").alias("at"), "level", "idx", "digest")
-    for k in used:
-        nodes = manifest.bands[k].select(F.col("tree").alias("at"), "level", "idx", "digest")
-        found = needs.where(band == k).join(nodes, ["at", "level", "idx"])
-        fetched = fetched.union(found.select("tree", "block", "at", "level", "idx", "digest"))
-    fetched = written(fetched, "manifest-fetched")
-
-    def expand(group: pa.Table, above: pa.Table) -> pa.Table:
-        tree, n, top_pos, top_n = (group.column(c)[0].as_py() for c in ("tree", "n", "top_pos", "top_n"))
-        got: dict[bool, dict[tuple[int, int], str]] = {False: {}, True: {}}
-        for at, level, idx, node in zip(*(above.column(c).to_pylist() for c in ("at", "level", "idx", "digest")), strict=True):
-            got[at == TOP][level, idx] = node
+        tree, n, number = (group.column(c)[0].as_py() for c in ("tree", "n", "block"))
+        own = [(-1, 0), *missing_nodes(group.column("pos").to_pylist(), n)]  # the first row stands for the block
+        kinds = {"tree": pa.string(), "block": pa.int64(), "level": pa.int32(), "idx": pa.int64()}
+        return pa.table({c: pa.array(v, k) for (c, k), v in zip(kinds.items(), ([tree] * len(own), [number] * len(own), [level for level, _ in own], [i for _, i in own]), strict=True)})
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tree, pos, n in zip(*(batch.column(c).to_pylist() for c in ("tree", "top_pos", "top_n")), strict=True):
+                own = missing_nodes([pos], n)
+                yield pa.RecordBatch.from_arrays([pa.array([tree] * len(own), pa.string()), pa.array([level for level, _ in own], pa.int32()), pa.array([i for _, i in own], pa.int64())], ["tree", "level", "idx"])
+
+    def fetch(needs: DataFrame, at: Column) -> DataFrame:
+        """``needs`` with the digests of their coordinates in tree ``at``; only bands that are asked for are read."""
+        # band 0 holds the levels 0 to bits, each later one the next ``bits`` levels
+        band = F.greatest(F.lit(0), F.floor((F.col("level") - 1) / F.lit(bits)))
+        out = None
+        for k in sorted(r.band for r in needs.select(band.alias("band")).distinct().collect()):
+            nodes = manifest.bands[k].select(F.col("tree").alias("at"), "level", "idx", "digest")
+            found = needs.where(band == k).withColumn("at", at).join(nodes, ["at", "level", "idx"]).select(*needs.columns, "digest")
+            out = found if out is None else out.union(found)
+        return out if out is not None else needs.withColumn("digest", F.lit(""))
+
+    asked = wanted.select("tree", "block", "pos", "n").groupBy("tree", "block").applyInArrow(coordinates, "tree string, block long, level int, idx long")
+    needs = written(asked, "manifest-missing")
+    blocks = needs.where("level < 0").select("tree", "block")
+    upper = written(manifest.trees.select("tree", "top_pos", "top_n").mapInArrow(above, "tree string, level int, idx long"), "manifest-above")
+    tops = fetch(upper, F.lit(TOP)).groupBy("tree").agg(F.collect_list(F.struct("level", "idx", "digest")).alias("tops"))
+    # one row of a block brings its place in the top tree, with the path from there on
+    heads = blocks.join(manifest.trees.select("tree", "top_pos", "top_n"), "tree").join(tops, "tree", "left").select("tree", "block", F.lit(-1).alias("level"), F.lit(0).cast("long").alias("idx"), F.lit("").alias("digest"), "top_pos", "top_n", "tops")
+    none = [F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("top_pos", "top_n", "tops")]
+    fetched = written(heads.union(fetch(needs.where("level >= 0"), F.col("tree")).select("tree", "block", "level", "idx", "digest", *none)), "manifest-fetched")
+
+    def expand(group: pa.Table, union: pa.Table) -> pa.Table:
+        n = group.column("n")[0].as_py()
+        got, upper = {}, []
+        for row in union.to_pylist():
+            if row["level"] >= 0:
+                got[row["level"], row["idx"]] = row["digest"]
+            else:
+                top = {(t["level"], t["idx"]): t["digest"] for t in row["tops"] or []}
+                upper = siblings(row["top_pos"], row["top_n"], lambda level, i, top=top: top[level, i])
         positions = group.column("pos").to_pylist()
-        nodes = interior(positions, group.column("leaf").to_pylist(), n, got[False])
+        nodes = interior(positions, group.column("leaf").to_pylist(), n, got)
         subroot = nodes[depth_of(n), 0]
-        upper = siblings(top_pos, top_n, lambda level, i: got[True][level, i])
         paths = [siblings(p, n, lambda level, i: nodes[level, i]) + upper for p in positions]
         folded = [fold(d, path) for d, path in zip(group.column(claim).to_pylist(), paths, strict=True)]
         added = {
@@ -248,7 +257,7 @@ def prove(manifest: Manifest, claims: DataFrame, claim: str = "leaf") -> DataFra
             "folded_root": pa.array(folded, pa.string()),
             "verified": pa.array([f == root for f in folded], pa.bool_()),
         }
-        kept = group.select([c for c in group.schema.names if c not in ("top_pos", "top_n", "block")])
+        kept = group.select([c for c in group.schema.names if c != "block"])
         return pa.table({**{c: kept.column(c) for c in kept.schema.names}, **added})
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in claims.select("tree", *[c for c in claims.columns if c != "tree"]).schema]
