@@ -27,6 +27,8 @@ from ledgerlens.llm.kernels import Words, shingles
 #: Hashes that a task holds at a time, about: entries of a bucket, and tokens of a block of sets.
 BUCKET_HASHES = 2_000_000
 BLOCK_HASHES = 4_000_000
+#: Entries of a bucket: rows known to share their hash, rows that may, and hashes that several rows of a task have (they go on once).
+RESOLVED, OPEN, SEEN = 0, 1, 2
 
 
 def _least(n: int, percent: int) -> int:
@@ -56,15 +58,15 @@ def shared_hashes(sets: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, token): each hash of a row's prefix that stands in another row's prefix too."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(docs: np.ndarray, hashes: np.ndarray, resolved: bool) -> Iterator[pa.RecordBatch]:
-            bucket = (docs.view(np.uint64) if resolved else hashes >> np.uint64(20)) % np.uint64(buckets)
+        def rows(docs: np.ndarray, hashes: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+            bucket = (docs.view(np.uint64) if kind == RESOLVED else hashes >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(edges))
             parts = [order[edges[b] : edges[b + 1]] for b in some]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([resolved] * len(some), pa.bool_()), pa.array([docs[p].tobytes() for p in parts], pa.binary()), pa.array([hashes[p].tobytes() for p in parts], pa.binary())],
-                ["bucket", "resolved", "docs", "hashes"],
+                [pa.array(some, pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array([docs[p].tobytes() for p in parts], pa.binary()), pa.array([hashes[p].tobytes() for p in parts], pa.binary())],
+                ["bucket", "kind", "docs", "hashes"],
             )
 
         def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -72,10 +74,10 @@ def shared_hashes(sets: DataFrame, buckets: int) -> DataFrame:
             _, at, count = np.unique(hashes, return_index=True, return_counts=True)
             one = np.zeros(len(hashes), bool)
             one[at[count == 1]] = True
-            yield from rows(docs[~one], hashes[~one], True)
-            # a hash seen twice here goes on once, without a row
+            yield from rows(docs[~one], hashes[~one], RESOLVED)
+            yield from rows(docs[one], hashes[one], OPEN)
             many = at[count > 1]
-            yield from rows(np.concatenate([docs[one], np.full(len(many), -1)]), np.concatenate([hashes[one], hashes[many]]), False)
+            yield from rows(docs[many], hashes[many], SEEN)
 
         held, size = [], 0
         for batch in slices(batches, "prefix", 1_000_000):
@@ -89,25 +91,25 @@ def shared_hashes(sets: DataFrame, buckets: int) -> DataFrame:
             yield from flush(held)
 
     def meet(group: pa.Table) -> pa.Table:
-        resolved = group.column("resolved").to_numpy()
+        kinds = group.column("kind").to_pylist()
         docs = [np.frombuffer(d, np.int64) for d in group.column("docs").to_pylist()]
         hashes = [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()]
-        done = [(d, h) for d, h, r in zip(docs, hashes, resolved, strict=True) if r]
-        left = [(d, h) for d, h, r in zip(docs, hashes, resolved, strict=True) if not r]
+        done = [(d, h) for d, h, k in zip(docs, hashes, kinds, strict=True) if k == RESOLVED]
+        left = [(d, h, np.full(len(d), k == OPEN)) for d, h, k in zip(docs, hashes, kinds, strict=True) if k != RESOLVED]
         if left:
-            d, h = (np.concatenate(x) for x in zip(*left, strict=True))
+            d, h, open_ = (np.concatenate(x) for x in zip(*left, strict=True))
             order = np.argsort(h, kind="stable")
-            d, h = d[order], h[order]
+            d, h, open_ = d[order], h[order], open_[order]
             same = h[1:] == h[:-1]
             keep = np.zeros(len(h), bool)
             keep[1:] |= same
             keep[:-1] |= same
-            keep &= d >= 0
+            keep &= open_
             done.append((d[keep], h[keep]))
         d, h = (np.concatenate(x) for x in zip(*done, strict=True))
         return pa.table({"doc_id": pa.array(d, pa.int64()), "token": pa.array(h.view(np.int64))})
 
-    dealt = sets.select("doc_id", "prefix").mapInArrow(deal, "bucket int, resolved boolean, docs binary, hashes binary")
+    dealt = sets.select("doc_id", "prefix").mapInArrow(deal, "bucket int, kind int, docs binary, hashes binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "doc_id long, token long")
 
 

@@ -203,11 +203,27 @@ def _near(stack: list[tuple[str, int]], shut: tuple[str, ...]) -> bool:
 
 
 def features(node: Node) -> tuple[str, ...]:
-    tag = node.tag
-    role = "outside" if node.outside else "region" if tag in _REGION else "heading" if tag in _HEADING else "text" if tag in _TEXT else "list" if tag in _LIST and node.linked else "root" if tag in ("html", "body") else "box"
-    size = min(4, int(math.log10(node.own + 1) * 1.5)) if node.own else -1
+    """What a node shows: its role, the size of its own text and its links. A box without text of its own shows nothing, so it goes with
+    what is around and inside; inside an article a text's size says nothing either, as its headings, items and cells are short."""
+    tag, plain = node.tag, not node.linked
+    if node.outside:
+        role = "outside"
+    elif tag in _REGION:
+        role = "region"
+    elif tag in ("html", "body"):
+        role = "root"
+    elif not node.own:
+        return ()
+    elif tag in _HEADING:
+        role = "heading"
+    elif tag in _TEXT or plain and (tag in _LIST or tag == "caption"):
+        role = "text"
+    else:
+        role = "list" if tag in _LIST else "box"
     links = -1 if not node.own else 2 if node.linked * 2 > node.own else 1 if node.linked else 0
-    return (f"role:{role}", f"size:{size}", f"links:{links}")
+    shown = (f"role:{role}", f"links:{links}")
+    size = min(4, int(math.log10(node.own + 1) * 1.5)) if node.own else -1
+    return shown if node.region else (*shown, f"size:{size}")
 
 
 _VALUES = {"role": 7, "size": 6, "links": 4}

@@ -26,7 +26,7 @@ from ledgerlens.llm.common import slices
 KINDS = ["email", "ip", "card", "phone", "secret"]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -75,7 +75,7 @@ def strict_spans(text: str) -> list[tuple[int, int, int]]:
         parts, place = m.group().split("."), m.start()
         for i in range(0, len(parts) - 3, 4):
             end = place + sum(map(len, parts[i : i + 4])) + 3
-            if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in parts[i : i + 4]):
+            if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in parts[i : i + 4]):
                 out.append((place, 1, end))
             place = end + 1
     for m in _CARD.finditer(text):
@@ -107,7 +107,10 @@ def loose_spans(text: str, strict: list[tuple[int, int, int]]) -> list[tuple[int
     for start, kind, end in sorted(found):
         while i < len(strict) and strict[i][2] <= start:
             i += 1
-        if start >= free and not any(s < end and e > start for s, _, e in strict[i:]):
+        j = i  # strict spans from here on may reach over the start
+        while j < len(strict) and strict[j][0] < end and strict[j][2] <= start:
+            j += 1
+        if start >= free and (j == len(strict) or strict[j][0] >= end):
             out.append((start, kind, end))
             free = end
     return out
