@@ -8,7 +8,6 @@ as unary gaps, and the place of every 64th set bit for selecting an offset witho
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,17 +21,27 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from ledgerlens.llm.common import slices
+from ledgerlens.llm.kernels import column_bytes, mixed
 
 #: Ids per block, about; a block ends with the document that reaches it.
 BLOCK_IDS = 250_000
 #: Every so many documents the place of the boundary's set bit is kept.
 SAMPLED = 64
-#: Encoded pieces kept per Python worker before they are dropped (about 200 bytes each; it only saves time).
-KEPT = 250_000
+#: After so many encoded pieces a Python worker starts anew (it only saves time; the pool of ids takes some 10 bytes for each).
+KEPT = 3_000_000
 _HEAD = "<QQB"
-#: Before a single blank between two other characters no token of the split pattern can cross.
-_ODD_SPACE = re.compile(r" [\s\0]|[^\S ] |\0")
-_CUT = re.compile(r"(?<=\S)(?= [^\s\0])")
+#: Slots of the table of short pieces, 37 bytes each.
+SLOT_BITS = 21
+SLOTS = 1 << SLOT_BITS
+#: Documents whose boundaries a reader unpacks at a time.
+READ = 1024
+#: Bytes that are no white space (nor zero), and those that may open a character that is none.
+_BODY = np.ones(256, bool)
+_BODY[[0, *range(9, 14), *range(28, 33)]] = False
+_OPENS = _BODY.copy()
+_OPENS[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+#: Masks of the first 0 to 8 bytes of a number.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 BLOCKS = T.StructType(
     [
@@ -72,29 +81,65 @@ class EliasFano:
         high[places] = 1
         return struct.pack(_HEAD, count, top, bits) + low.tobytes() + np.packbits(high, bitorder="little").tobytes() + places[::SAMPLED].astype("<u4").tobytes()
 
+    def span(self, begin: int, end: int) -> np.ndarray:
+        """The numbers ``begin`` to ``end`` (exclusive), from the kept place before them: only their own bits are read."""
+        if end <= begin:
+            return np.empty(0, np.int64)
+        place, skipped = int(self.samples[begin // SAMPLED]), begin % SAMPLED
+        wanted, size = skipped + end - begin, end - begin
+        byte, held, size = place // 8, wanted // 2 + 16, end - begin
+        ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + held], bitorder="little")[place % 8 :])
+        while len(ones) < wanted:
+            held *= 2
+            ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + held], bitorder="little")[place % 8 :])
+        high = ones[skipped:wanted] + place - np.arange(begin, end)
+        bit = begin * self.low_bits
+        low = np.unpackbits(self.low[bit // 8 : -(-end * self.low_bits // 8)], bitorder="little")[bit % 8 :][: size * self.low_bits].reshape(size, self.low_bits)
+        return (high.astype(np.int64) << self.low_bits) | (low.astype(np.int64) << np.arange(self.low_bits)).sum(1, dtype=np.int64)
+
     def select(self, i: int) -> int:
-        """The i-th number, from the kept place before it."""
-        place, left = int(self.samples[i // SAMPLED]), i % SAMPLED
-        byte = place // 8
-        ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + 8], bitorder="little")[place % 8 :]) + place
-        while len(ones) <= left:
-            left -= len(ones)
-            byte += 8
-            ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + 8], bitorder="little")) + 8 * byte
-        low = 0
-        for b in range(self.low_bits):
-            bit = i * self.low_bits + b
-            low |= (int(self.low[bit // 8]) >> (bit % 8) & 1) << b
-        return (int(ones[left]) - i << self.low_bits) | low
+        """The i-th number."""
+        return int(self.span(i, i + 1)[0])
 
     def all(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little")) - np.arange(self.count)
-        bits = np.unpackbits(self.low, bitorder="little", count=self.count * self.low_bits).reshape(self.count, self.low_bits)
-        return (high.astype(np.int64) << self.low_bits) | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1, dtype=np.int64)
+        return self.span(0, self.count)
+
+
+def _is_body(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The characters that end at these bytes are surely no white space."""
+    last = data[at]
+    keep = _BODY[last]
+    wide = np.flatnonzero(last >= 0x80)
+    back = at[wide]
+    keep[wide] &= ~(((data[back - 1] == 0xC2) & np.isin(last[wide], (0x85, 0xA0))) | np.isin(data[back - 2], (0xE1, 0xE2, 0xE3)))
+    return keep
+
+
+def piece_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of all pieces in the bytes of many rows, and whether a piece opens its row.
+
+    A row is cut at a single blank between two characters that are no white space; the blank belongs to neither piece. Where a
+    character may be white space beyond ASCII there is no cut, which only makes a piece longer.
+    """
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    blank = np.flatnonzero(data == 32)
+    blank = blank[~edge[blank] & ~edge[blank + 1]]
+    cuts = blank[_is_body(data, blank - 1) & _OPENS[data[np.minimum(blank + 1, n - 1)]]]
+    some = offsets[:-1] < offsets[1:]
+    starts = np.sort(np.concatenate([offsets[:-1][some], cuts + 1]), kind="stable")
+    ends = np.sort(np.concatenate([cuts, offsets[1:][some]]), kind="stable")
+    return starts, ends, edge[starts]
 
 
 class PieceEncoder:
-    """The tokenizer of the library, asked once for each different piece between blanks."""
+    """The tokenizer of the library, asked once for each different piece between blanks.
+
+    Ids of the pieces met so far lie in one pool. Pieces of up to 24 bytes are found by a table of slots that holds their bytes as three numbers,
+    so that all pieces of a slice are looked up at once and compared byte for byte. A new piece takes its slot from an older one, which
+    is asked again when it comes back.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -103,67 +148,85 @@ class PieceEncoder:
         self.tokenizer.model._resize_cache(0)  # each piece comes once
         blank = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.opens = np.array([t.startswith("\u0120") for t in blank])  # tokens that begin with a blank
-        # pieces met once, and pieces met again
-        self.seen: dict[str, bytes] = {}
-        self.often: dict[str, bytes] = {}
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Cut before single blanks; a piece that starts at a blank comes without it, the first one with a leading mark."""
-        if "  " in text or text[0] == " " or text[-1] == " " or _ODD_SPACE.search(text):
-            first, *rest = _CUT.split(text)
-            return ["\0" + first, *[p[1:] for p in rest]]
-        parts = text.split(" ")
-        parts[0] = "\0" + parts[0]
-        return parts
-
-    def _ask(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces. Those with a blank in front and none inside make one call: their first tokens alone open with a blank."""
-        out: dict[str, bytes] = {}
-        plain = [p for p in pieces if p[0] != "\0" and " " not in p and "<|" not in p and not p[-1].isspace()]
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids, self.dtype)
+        self.keys = np.zeros((3, SLOTS), np.uint64)
+        self.code, self.place, self.count = np.zeros(SLOTS, np.uint8), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.code[:] = 0
+        self.pool, self.used, self.learned = np.zeros(1 << 20, self.dtype), 0, 0
+
+    def _add(self, ids: np.ndarray) -> int:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), self.dtype)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _learn(self, names: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of new pieces; an opening piece has a leading zero byte. Plain ones have a blank in front and
+        none inside, so many of them make one call: their first tokens alone open with a blank."""
+        place, count = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        single = np.flatnonzero(~plain).tolist()
+        many = np.flatnonzero(plain)
+        for at in range(0, len(many), 2_000):
+            some = many[at : at + 2_000]
+            text = (b" " + b" ".join([names[i] for i in some.tolist()])).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(plain):
-                blob, cuts = ids.tobytes(), [*(starts * self.width).tolist(), len(ids) * self.width]
-                out = {p: blob[a:b] for p, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True)}
-        rest = [p for p in pieces if p not in out]
-        texts = [p[1:] if p[:1] == "\0" else " " + p for p in rest]
-        out.update((p, np.array(m.ids, self.dtype).tobytes()) for p, m in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True))
-        return [out[p] for p in pieces]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian numbers of ``width`` bytes."""
-        often, seen = self.often, self.seen
-        if len(often) > KEPT:
-            often.clear()
-        if len(seen) > KEPT:
-            seen.clear()
-        fresh: dict[str, bytes] = {}
-        rows, holes = [], []
-        for text in texts:
-            parts = self.pieces(text) if text else []
-            got = list(map(often.get, parts))
-            rows.append(got)
-            if None in got:
-                for i, (piece, ids) in enumerate(zip(parts, got, strict=True)):
-                    if ids is None:
-                        ids = seen.get(piece)
-                        if ids is None:
-                            fresh[piece] = b""
-                            holes.append((got, i, piece))
-                        else:
-                            got[i] = ids
-                            if len(piece) < 64:
-                                often[piece] = ids
-        names = list(fresh)
-        for start in range(0, len(names), 2_000):
-            some = names[start : start + 2_000]
-            fresh.update(zip(some, self._ask(some), strict=True))
-        for got, i, piece in holes:
-            got[i] = fresh[piece]
-        seen.update(fresh)
-        return [b"".join(got) for got in rows]
+            if len(starts) == len(some):
+                place[some] = self._add(ids) + starts
+                count[some] = np.diff(np.append(starts, len(ids)))
+            else:
+                single += some.tolist()
+        for at in range(0, len(single), 2_000):
+            some = single[at : at + 2_000]
+            texts = [(names[i][1:] if names[i][:1] == b"\0" else b" " + names[i]).decode() for i in some]
+            for i, made in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                place[i], count[i] = self._add(np.array(made.ids, self.dtype)), len(made.ids)
+        self.learned += len(names)
+        return place, count
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, each closed by ``end_id``, and the offset of each row in them, with the end."""
+        if self.learned > KEPT:
+            self._forget()
+        data, offsets = column_bytes(column)
+        starts, ends, opening = piece_bounds(data, offsets)
+        padded = np.concatenate([data, np.zeros(40, np.uint8)])
+        eight = np.ndarray(len(data) + 32, "<u8", padded, strides=(1,))
+        length = ends - starts
+        keys = [eight[np.minimum(starts + at, len(data))] & _BYTES[np.clip(length - at, 0, 8)] for at in (0, 8, 16)]
+        code = np.where(length <= 24, length + 32 * opening, 255).astype(np.uint8)
+        slot = (mixed(keys[0] + keys[1] * np.uint64(0x9E3779B97F4A7C15) + keys[2] * np.uint64(0xD1342543DE82EF95) + code) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        hit = (code != 255) & (self.code[slot] == code)
+        for kept, own in zip(self.keys, keys, strict=True):
+            hit &= kept[slot] == own
+        place, count = self.place[slot], self.count[slot].astype(np.int64)
+        missed = np.flatnonzero(~hit)
+        if len(missed):
+            raw = data.tobytes()
+            names = [(b"\0" if o else b"") + raw[a:b] for a, b, o in zip(starts[missed].tolist(), ends[missed].tolist(), opening[missed].tolist(), strict=True)]
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(n, len(number)) for n in names])
+            new = missed[np.unique(which, return_index=True)[1]]
+            special = np.flatnonzero((data == 32) | (data == 60))
+            plain = ~opening[new] & (np.searchsorted(special, starts[new]) == np.searchsorted(special, ends[new])) & _is_body(data, ends[new] - 1)
+            found, sizes = self._learn(list(number), plain)
+            place[missed], count[missed] = found[which], sizes[which]
+            put = missed[code[missed] != 255]
+            into = slot[put]
+            self.code[into], self.place[into], self.count[into] = code[put], place[put], count[put]
+            for kept, own in zip(self.keys, keys, strict=True):
+                kept[into] = own[put]
+        # one more piece closes each row
+        closes = np.searchsorted(starts, offsets[1:])
+        place, count = np.insert(place, closes, -1), np.insert(count, closes, 1)
+        last = np.cumsum(count)
+        at = np.arange(last[-1] if len(last) else 0) + np.repeat(place - (last - count), count)
+        closed = np.repeat(place < 0, count)
+        ids = np.where(closed, np.array(end_id, self.dtype), self.pool[np.where(closed, 0, at)])
+        return ids, np.concatenate([[0], last[closes + np.arange(len(closes))]])
 
 
 @lru_cache(maxsize=2)
@@ -183,7 +246,6 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int, bl
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, part = _encoder(vocabulary), TaskContext.get().partitionId()
-        end = np.array([end_id], encoder.dtype).tobytes()
         start, held, ids, docs_held = 0, 0, [], []
 
         def block() -> pa.RecordBatch:
@@ -194,10 +256,11 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int, bl
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], BLOCKS.names)
 
         for batch in slices(batches, "text"):
-            for doc, made in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
-                ids.append(made + end)
+            made, at = encoder.encode(batch.column("text"), end_id)
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ids.append(made[a:b].tobytes())
                 docs_held.append(doc)
-                held += len(ids[-1]) // encoder.width
+                held += b - a
                 if held >= block_ids:
                     yield block()
                     start, held, ids, docs_held = start + held, 0, [], []
@@ -223,18 +286,15 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 base, count, width, docs, known, bounds, ids = (batch.column(c)[row].as_py() for c in ("first", "n_docs", "width", "doc_ids", "known", "boundaries", "ids"))
-                ends = EliasFano(bounds).all()
-                starts = np.concatenate([[0], ends[:-1]])
-                flat = np.frombuffer(ids, "<u2" if width == 2 else "<u4").astype("<u4")
+                ends = EliasFano(bounds)
+                flat = np.frombuffer(ids, "<u2" if width == 2 else "<u4")
                 numbers = np.frombuffer(docs, "<i8")
                 nulls = np.unpackbits(np.frombuffer(known, np.uint8), count=count) == 0
-                cuts = np.searchsorted(ends, np.arange(0, ends[-1] + 100_000, 100_000), "right")
-                for a, b in zip(cuts[:-1], [*cuts[1:-1], count], strict=True):
-                    if b > a:
-                        texts = [flat[s:e].tobytes() for s, e in zip(starts[a:b], ends[a:b], strict=True)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(numbers[a:b], mask=nulls[a:b]), pa.array(starts[a:b] + base), pa.array(ends[a:b] - starts[a:b]), pa.array(texts, pa.binary())], ["doc_id", "start", "n_tokens", "ids"]
-                        )
+                for a in range(0, count, READ):
+                    b, before = min(a + READ, count), ends.select(a - 1) if a else 0
+                    at = np.concatenate([[before], ends.span(a, b)])
+                    texts = [flat[s:e].astype("<u4").tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[a:b], mask=nulls[a:b]), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(texts, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     placed = blocks.join(F.broadcast(bases), "part").select((F.col("base") + F.col("part_start")).alias("first"), "n_docs", "width", "doc_ids", "known", "boundaries", "ids")
     return placed.mapInArrow(run, schema)

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -29,12 +30,27 @@ def test_backtracking_equals_the_library():
         assert ours.decode(np.array(ids, np.int64)).decode() == library.decode(ids, skip_special_tokens=False)
 
 
-def test_pieces_equal_the_library():
+def test_pieces_equal_the_library(monkeypatch):
     path = P.path("byte_bpe_50k.json")
-    ours, library = tokenids.PieceEncoder(path), tokenizers.Tokenizer.from_file(path)
-    for _ in range(3):  # pieces come new, then once seen, then often seen
-        for text, ids in zip(ODD, ours.encode(ODD), strict=True):
-            assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    library, rng = tokenizers.Tokenizer.from_file(path), random.Random(6)
+    made = ["".join(rng.choice(["a", "b", "é", "à", " ", " ", " ", "\u00a0", "\u3000", "\u2003", "—", "«", ".", "'s", "\n", "\0", "\x85", "12", "word", "x" * 30, "<|endoftext|>", "日"]) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    for kept in (250_000, 50):  # with the table of pieces kept, and dropped again and again
+        monkeypatch.setattr(tokenids, "KEPT", kept)
+        ours = tokenids.PieceEncoder(path)
+        for texts in (ODD, ODD, made, made[::-1], [None, "", None], []):
+            ids, at = ours.encode(pa.array(texts, pa.string()), 2)
+            assert len(at) == len(texts) + 1 and at[-1] == len(ids)
+            for text, a, b in zip(texts, at[:-1], at[1:], strict=True):
+                assert ids[a:b].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2], text
+
+
+def test_spans_of_boundaries():
+    rng = np.random.default_rng(2)
+    values = np.cumsum(rng.integers(0, 5000, 3000))
+    packed = tokenids.EliasFano(tokenids.EliasFano.pack(values))
+    for _ in range(200):
+        a, b = sorted(rng.integers(0, 3001, 2).tolist())
+        assert packed.span(a, b).tolist() == values[a:b].tolist()
 
 
 @pytest.mark.parametrize("values", [[], [0], [1], [3, 3, 10, 500, 100_000], list(range(0, 9000, 7)), [0] * 200 + [5]])
