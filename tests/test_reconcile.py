@@ -49,25 +49,43 @@ def test_matching_equals_the_serial_loop(spark, seed):
 
     cards, bank = some("c", 90), some("b", 90)
     cards += [(*cards[0][:1], *cards[0][1:])] * 2  # exact copies on the card side
-    got = matching.match_one_to_one(gold(spark, cards), gold(spark, bank, "bank"), rounds_before_sweep=1 + seed)
+    got = matching.match_one_to_one(gold(spark, cards), gold(spark, bank, "bank"), segment_rows=(200_000, 6, 25)[seed])
     assert pairs_of(got) == greedy(cards, bank)
 
 
-def test_long_chain_is_finished_by_the_sweep_and_by_rounds(spark):
-    cards = [(f"c{i:03d}", 10.0, "A", None, i) for i in range(25)]
-    bank = [(f"b{i:03d}", 10.0, "A", None, i) for i in range(25)]
-    want = greedy(cards, bank)
-    args = (gold(spark, cards), gold(spark, bank, "bank"))
-    assert pairs_of(matching.match_one_to_one(*args, rounds_before_sweep=2)) == want
-    few = (gold(spark, cards[:8]), gold(spark, bank[:8], "bank"))
-    # nothing is small enough for a sweep: rounds alone get there
-    assert pairs_of(matching.match_one_to_one(*few, rounds_before_sweep=1, sweep_edges=0)) == greedy(cards[:8], bank[:8])
+@pytest.mark.parametrize("bank_days, segment_rows", [((0, 400), 40), ((3, 403), 40), ((-2, 398), 90), ((1, 300), 7)])
+def test_a_long_chain_of_daily_payments(spark, monkeypatch, bank_days, segment_rows):
+    """One amount every day: what is left at a segment's start shifts everything after it."""
+    cards = [(f"c{i:03d}", 10.0, "A", None, i) for i in range(400)]
+    bank = [(f"b{i:03d}", 10.0, "A", None, i) for i in range(*bank_days)]
+    rounds, chained = [], matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df: rounds.append(tuple(df.columns)) or chained(df))
+    got = matching.match_one_to_one(gold(spark, cards), gold(spark, bank, "bank"), segment_rows=segment_rows)
+    assert pairs_of(got) == greedy(cards, bank)
+    # two extreme histories and what they leave: the chain closes long before it was followed segment by segment
+    assert rounds.count(("group", "seg", "entry", "exit")) <= 7
+
+
+def test_segments_of_a_busy_vendor(spark):
+    rng = random.Random(7)
+    some = lambda p, n: [(f"{p}{i:04d}", float(rng.choice([100, 101, 103, 106, 110, 115])), "A", None, rng.randrange(60)) for i in range(n)]
+    cards, bank = some("c", 300), some("b", 280)
+    args = gold(spark, cards), gold(spark, bank, "bank")
+    assert pairs_of(matching.match_one_to_one(*args, segment_rows=30)) == pairs_of(matching.match_one_to_one(*args)) == greedy(cards, bank)
 
 
-def test_a_large_group_of_copies_is_matched_in_few_rounds(spark, small_limits):
+def test_a_large_group_of_copies(spark, small_limits):
     cards = [(f"c{i:03d}", 10.0, "A", None, 1) for i in range(60)]
     bank = [(f"b{i:03d}", 10.0, "A", None, 1) for i in range(45)]
-    got = matching.match_one_to_one(gold(spark, cards), gold(spark, bank, "bank"), rounds_before_sweep=100)
+    got = matching.match_one_to_one(gold(spark, cards), gold(spark, bank, "bank"), segment_rows=1)
+    assert pairs_of(got) == greedy(cards, bank)
+
+
+def test_names_and_ids_chain_vendors(spark):
+    """Every vendor shares an id with the next one: one group, walked as one."""
+    cards = [(f"c{i:02d}", 10.0 + i, f"V{i:02d}", str(i // 2), i % 3) for i in range(40)]
+    bank = [(f"b{i:02d}", 10.0 + i, f"V{i + 1:02d}", str(i // 2), i % 3) for i in range(40)]
+    got = matching.match_one_to_one(gold(spark, cards), gold(spark, bank, "bank"), segment_rows=10)
     assert pairs_of(got) == greedy(cards, bank)
 
 
