@@ -50,6 +50,19 @@ def transaction_findings(cards: DataFrame, pairs: DataFrame, high_amount: float
     )
 
 
+def flags_of(
+    per_txn: DataFrame,
+    audit_run_id: str,
+    created_at: str,
+    whitelist: DataFrame | None = None,
+    severity: SeverityParams = SeverityParams(),
+    escalation_mode: str = "live",
+) -> DataFrame:
+    """Flags of the findings, one per transaction id at most; each id is judged by itself."""
+    final = escalation_rules(severity_live(per_txn, severity), whitelist, escalation_mode, auto_approve_below=severity.auto_approve_below)
+    return create_flags(explain(final), audit_run_id, created_at)
+
+
 def run_audit(
     cards: DataFrame,
     bank: DataFrame,
@@ -68,9 +81,7 @@ def run_audit(
         quality.select("gate_passed").first()
     pairs = match_one_to_one(cards, bank, match)
     per_txn = transaction_findings(cards, pairs, severity.high_amount)
-    scored = severity_live(per_txn, severity)
-    final = escalation_rules(scored, whitelist, escalation_mode, auto_approve_below=severity.auto_approve_below)
-    flags = create_flags(explain(final), audit_run_id, created_at)
+    flags = flags_of(per_txn, audit_run_id, created_at, whitelist, severity, escalation_mode)
     suspect = F.col("is_unmatched") | F.col("is_incomplete") | F.col("is_duplicate")
     rows = per_txn.agg(F.coalesce(F.sum(F.when(suspect, F.col("rows"))), F.lit(0)).alias("n"))
     return AuditResult(flags, pairs, per_txn, quality, audit_summary(audit_run_id, cards, flags, rows))

@@ -1,17 +1,15 @@
-"""The audit on arriving data. Batch and stream share the operators; only these four need a streaming form."""
+"""Streams of rows, of ids delivered again, and of quality by the hour. The audit and the reconciliation of streams have modules of their own."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..functions.columns import missing, relative_gap
-from ..plans.audit import run_audit
-from ..sources.sinks import conform_flags
+from ..functions.columns import missing
+from ..params import REQUIRED_FIELDS
 
 
 def read_stream(
@@ -23,80 +21,39 @@ def read_stream(
     return reader.load(path)
 
 
-def stream_audit(
-    cards: DataFrame,
-    bank: DataFrame | Callable[[], DataFrame],
-    out: str,
-    checkpoint: str,
-    created_at: str | None = None,
-    whitelist: DataFrame | None = None,
-) -> StreamingQuery:
-    """Audit every new batch of card rows once, then stop; a restart goes on where the checkpoint ends.
-
-    Each batch overwrites its own folder ``flags/batch=N``, so a batch that is repeated after a failure does
-    not write twice. ``bank`` may be a function that reads the current bank table for each batch.
-    """
-
-    def audit(batch: DataFrame, batch_id: int) -> None:
-        bank_now = bank() if callable(bank) else bank
-        at = created_at or batch.sparkSession.sql("select cast(current_timestamp() as string)").first()[0]
-        result = run_audit(batch, bank_now, f"stream-{batch_id:08d}", at, whitelist)
-        conform_flags(result.flags).write.mode("overwrite").parquet(f"{out}/flags/batch={batch_id}")
-
-    return (
-        cards.writeStream.foreachBatch(audit)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def stream_duplicates(txns: DataFrame, time_col: str = "date", watermark: str = "7 days") -> DataFrame:
     """Drop re-delivered ids. Ids are kept as state for the watermark only; a copy that comes later passes."""
     return txns.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(["txn_id"])
 
 
-def stream_quality(
-    txns: DataFrame,
-    time_col: str = "date",
-    watermark: str = "1 day",
-    width: str = "1 hour",
-    slide: str | None = None,
-) -> DataFrame:
-    """Rows and missing values per event-time window (tumbling; sliding with ``slide``). In append mode a
-    window comes out once the watermark passes it; later rows are dropped."""
-    window = F.window(time_col, width, slide) if slide else F.window(time_col, width)
-    fields = [f for f in ("vendor", "amount") if f in txns.columns]
-    lacking = [F.count_if(missing(txns, f)).alias(f"missing_{f}") for f in fields]
-    out = txns.withWatermark(time_col, watermark).groupBy(window).agg(F.count("*").alias("rows"), *lacking)
-    cells = F.col("rows") * len(fields)
+def stream_panes(txns: DataFrame, time_col: str = "date", watermark: str = "1 day", width: str = "1 hour", fields: Sequence[str] = REQUIRED_FIELDS) -> DataFrame:
+    """Rows and missing values of every required field per event-time pane (``window``). An absent field is missing in every row."""
+    lacking = [(F.count_if(missing(txns, f)) if f in txns.columns else F.count("*")).alias(f"missing_{f}") for f in fields]
+    return txns.withWatermark(time_col, watermark).groupBy(F.window(time_col, width)).agg(F.count("*").alias("rows"), *lacking)
+
+
+def with_score(panes: DataFrame, fields: Sequence[str] = REQUIRED_FIELDS) -> DataFrame:
+    """Start and end of each window, its counts and the share of filled cells, rounded as in the batch."""
     absent = sum((F.col(f"missing_{f}") for f in fields), F.lit(0))
-    return out.select(
+    return panes.select(
         F.col("window.start").alias("window_start"),
         F.col("window.end").alias("window_end"),
         "rows",
         *[f"missing_{f}" for f in fields],
-        F.round(1 - F.try_divide(absent, cells), 3).alias("completeness_score"),
+        F.round(1 - F.try_divide(absent, F.col("rows") * len(fields)), 3).alias("completeness_score"),
     )
 
 
-def stream_reconcile(
-    cards: DataFrame, bank: DataFrame, pct: float = 0.05, days: int = 3, watermark: str = "1 day"
+def stream_quality(txns: DataFrame, time_col: str = "date", watermark: str = "1 day", width: str = "1 hour", fields: Sequence[str] = REQUIRED_FIELDS) -> DataFrame:
+    """Quality per tumbling window. In append mode a window comes out once the watermark passes it; later rows are dropped."""
+    return with_score(stream_panes(txns, time_col, watermark, width, fields), fields)
+
+
+def stream_quality_overview(
+    txns: DataFrame, time_col: str = "date", watermark: str = "1 day", width: str = "1 hour", span: str = "24 hours", fields: Sequence[str] = REQUIRED_FIELDS
 ) -> DataFrame:
-    """Candidate pairs of two streams (same vendor, near amount, near date); a card row without one comes out
-    with NULLs when the watermarks have passed its window. Not one-to-one: that needs the whole period."""
-    left = cards.select("txn_id", "vendor", "amount", "date").withWatermark("date", watermark)
-    right = bank.select(
-        F.col("txn_id").alias("bank_id"),
-        F.col("vendor").alias("bank_vendor"),
-        F.col("amount").alias("bank_amount"),
-        F.col("date").alias("bank_date"),
-    ).withWatermark("bank_date", watermark)
-    span = F.expr(f"interval {days} days")
-    condition = (
-        (F.col("vendor") == F.col("bank_vendor"))
-        & (F.col("bank_date") >= F.col("date") - span)
-        & (F.col("bank_date") <= F.col("date") + span)
-        & (relative_gap("amount", "bank_amount") <= pct)
-    )
-    return left.join(right, condition, "leftOuter").select("txn_id", "bank_id", "vendor", "amount", "date", "bank_date")
+    """Quality over the last ``span``, a new window every ``width``: finished panes are added up, so a row is aggregated once and
+    the sliding windows only see one row for each pane. The second aggregation follows the panes by their window time."""
+    panes = stream_panes(txns, time_col, watermark, width, fields)
+    sums = [F.sum(c).alias(c) for c in ("rows", *(f"missing_{f}" for f in fields))]
+    return with_score(panes.groupBy(F.window(F.window_time("window"), span, width)).agg(*sums), fields)
