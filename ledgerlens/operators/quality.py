@@ -93,23 +93,24 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def duplicate_groups(
-    df: DataFrame, keys: Sequence[str], id_col: str = "txn_id", max_ids: int = 5
+    df: DataFrame, keys: Sequence[str], id_col: str = "txn_id", max_ids: int | None = None, ids_per_row: int = 10_000
 ) -> DataFrame:
-    """One row per repeated key without NULLs: key, count and the first ``max_ids`` ids."""
+    """Repeated keys without NULLs: key, count and all ids in order. A key with more than about ``ids_per_row`` rows has several
+    rows that share its ids out, so that no list outgrows a task. ``max_ids``: only the first ids, for display."""
     if any(k not in df.columns for k in keys):
         return df.limit(0).select(F.lit(0).cast("bigint").alias("count"), F.array().cast("array<string>").alias("ids"))
     whole = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
     groups = _key_counts(whole, keys).filter("n > 1")
-    top = whole.select(*keys, F.col(id_col).alias("_id"))
-    # the rank filter is applied before the shuffle too, so a hot key ships at most max_ids rows per task
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_id"))
-    ids = (
-        top.withColumn("_rank", rank)
-        .filter(F.col("_rank") <= max_ids)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_id")).alias("ids"))
-    )
-    return groups.join(ids, list(keys)).select(*keys, F.col("n").alias("count"), "ids")
+    if max_ids is not None:
+        # the rank filter is applied before the shuffle too, so a hot key ships at most max_ids rows per task
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_id"))
+        first = whole.select(*keys, F.col(id_col).alias("_id")).withColumn("_rank", rank).filter(F.col("_rank") <= max_ids)
+        ids = first.groupBy(*keys).agg(F.array_sort(F.collect_list("_id")).alias("ids"))
+        return groups.join(ids, list(keys)).select(*keys, F.col("n").alias("count"), "ids")
+    rows = whole.select(*keys, F.col(id_col).alias("_id")).join(groups, list(keys))
+    shares = F.ceil(F.col("n") / F.lit(ids_per_row))
+    dealt = rows.withColumn("_share", F.pmod(F.xxhash64("_id"), shares))
+    return dealt.groupBy(*keys, "n", "_share").agg(F.array_sort(F.collect_list("_id")).alias("ids")).select(*keys, F.col("n").alias("count"), "ids")
 
 
 def freshness_config(

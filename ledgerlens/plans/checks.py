@@ -164,8 +164,7 @@ def last_audit_timestamp(spark, root):
 @query(
     "new_transactions",
     sql(
-        "select txn_id, amount, strftime(date, '%Y-%m-%d') as date from cards where date > timestamp '2001-01-01' "
-        "order by date, txn_id limit 1000",
+        "select txn_id, amount, strftime(date, '%Y-%m-%d') as date from cards where date > timestamp '2001-01-01'",
         "cards",
     ),
 )
@@ -348,7 +347,7 @@ def duplicate_rows_null_keys(spark, root):
     "duplicate_groups",
     sql(
         "select vendor, strftime(date, '%Y-%m-%d') as date, count(*) as count, "
-        "array_to_string(list_slice(list_sort(list(txn_id)), 1, 5), ',') as ids from cards "
+        "array_to_string(list_sort(list(txn_id)), ',') as ids from cards "
         "where vendor is not null and date is not null group by vendor, cards.date having count(*) > 1",
         "cards",
     ),
@@ -903,7 +902,7 @@ _EMAIL_SQL = """
       abs(epoch_us(email_date) - epoch_us(a.date)) as gap from asked a join emails e
       on e.email_date between a.date - to_days(3) and a.date + to_days(3) and (contains(subject, vendor) or contains(body, vendor))),
   best as (select vendor, date, string_agg(email_id || ':' || c, ',' order by c desc, gap, email_id) as matches, count(*) as n from
-    (select *, row_number() over (partition by vendor, date order by c desc, gap, email_id) as k from hits) where k <= 5 group by 1, 2)
+    hits group by 1, 2)
   select txn_id, coalesce(matches, '') as email_matches, coalesce(n, 0)::int as match_count
   from cards c left join best b on c.vendor = b.vendor and c.date = b.date
 """
@@ -921,7 +920,7 @@ _CALENDAR_SQL = """
   hits as (select a.vendor, a.date, e.event_id, abs(epoch_us(event_date) - epoch_us(a.date)) as gap from asked a join calendar e
       on e.event_date between a.date - to_days(3) and a.date + to_days(3) and (contains(title, vendor) or contains(description, vendor))),
   best as (select vendor, date, string_agg(event_id, ',' order by gap, event_id) as matches, count(*) as n from
-    (select *, row_number() over (partition by vendor, date order by gap, event_id) as k from hits) where k <= 5 group by 1, 2)
+    hits group by 1, 2)
   select txn_id, coalesce(matches, '') as calendar_matches, coalesce(n, 0)::int as match_count
   from cards c left join best b on c.vendor = b.vendor and c.date = b.date
 """
@@ -956,7 +955,7 @@ _FILES_SQL = """
       abs(epoch_us(ocr_date::timestamp) - epoch_us(a.date)), abs(ocr_amount - a.amount), receipt_id) as k
     from asked a join receipts_ocr o on contains(o.ocr_vendor, a.vendor) and o.ocr_date between a.date - to_days(7) and a.date + to_days(7)
       and o.ocr_amount between a.amount * 0.95 and a.amount * 1.05),
-  best as (select vendor, amount, date, string_agg(file_path, ',' order by k) as files, count(*) as n from hits where k <= 5 group by 1, 2, 3)
+  best as (select vendor, amount, date, string_agg(file_path, ',' order by k) as files, count(*) as n from hits group by 1, 2, 3)
   select txn_id, coalesce(files, '') as file_paths, coalesce(n, 0)::int as match_count
   from cards c left join best b on c.vendor = b.vendor and c.amount = b.amount and c.date = b.date
 """
@@ -969,20 +968,12 @@ def receipt_files(spark, root):
 
 
 _KEYWORDS = ["the", "und", "que"]
-_SEARCH_SQL = " union all ".join(
-    f"select * from (select doc_id, title, left(snippet, 200) as snippet, '{k}' as keyword, {i} as pos from docs "
-    f"where contains(title, '{k}') or contains(content, '{k}') order by doc_id limit 2)"
-    for i, k in enumerate(_KEYWORDS)
-)
+_KEYWORD_SQL = "coalesce(" + ", ".join(f"case when contains(title, '{k}') or contains(content, '{k}') then '{k}' end" for k in _KEYWORDS) + ")"
 
 
 @query(
     "keyword_search",
-    sql(
-        "select doc_id, title, snippet, keyword, 0.8::double as relevance from (select *, row_number() over (partition by doc_id "
-        f"order by pos) as r from ({_SEARCH_SQL})) where r = 1 order by pos, doc_id limit 5",
-        "docs",
-    ),
+    sql(f"select doc_id, title, snippet, {_KEYWORD_SQL} as keyword, 0.8::double as relevance from docs where {_KEYWORD_SQL} is not null", "docs"),
 )
 def keyword_search(spark, root):
     return context.keyword_search(tb.documents(spark, root), _KEYWORDS)
@@ -1012,15 +1003,29 @@ def embedding_search(spark, root):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "embedding_neighbours",
+    """with x as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as p from embeddings),
+    n as (select vec_id, sqrt(sum(v * v)) as n from x group by 1),
+    s as (select q.vec_id as query_id, x.vec_id as doc_id, sum(q.v * x.v) as d from x q join x on q.p = x.p where q.vec_id % 20 = 0 group by 1, 2),
+    r as (select query_id, doc_id, d / (a.n * b.n) as sim from s join n a on a.vec_id = query_id join n b on b.vec_id = doc_id)
+    select query_id, doc_id, round(sim, 6) as similarity, rank::int as rank from (select *, row_number() over (partition by query_id
+    order by round(sim, 9) desc, doc_id) as rank from r) where rank <= 5""",
+)
+def embedding_neighbours(spark, root):
+    """Every vector whose id is divisible by 20 as a query against all vectors."""
+    vectors = tb.table(spark, root, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    out = context.embedding_search(vectors, vectors.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 @query(
     "enriched_transactions",
     sql(
         "with approvals as (" + _APPROVAL_SQL.strip() + "), mails as (select distinct c.txn_id from cards c join ("
-        "select vendor, date, email_id from (select a.vendor, a.date, e.email_id, row_number() over (partition by a.vendor, a.date "
-        "order by case when contains(lower(subject), lower(vendor)) then 0.9 else 0.7 end desc, "
-        "abs(epoch_us(email_date) - epoch_us(a.date)), email_id) as k from (select distinct vendor, date from cards) a "
+        "select a.vendor, a.date, e.email_id from (select distinct vendor, date from cards) a "
         "join emails e on e.email_date between a.date - to_days(3) and a.date + to_days(3) "
-        "and (contains(subject, vendor) or contains(body, vendor))) where k <= 5) m on c.vendor = m.vendor and c.date = m.date "
+        "and (contains(subject, vendor) or contains(body, vendor))) m on c.vendor = m.vendor and c.date = m.date "
         "join emails e on e.email_id = m.email_id join approvals p on p.thread_id = e.thread_id and p.approved), "
         "cal as (" + _CALENDAR_SQL.strip() + "), files as (" + _FILES_SQL.strip() + ") "
         "select txn_id, txn_id in (select txn_id from mails) as email_approval, nullif(split_part(calendar_matches, ',', 1), '') "

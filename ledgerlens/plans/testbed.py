@@ -143,7 +143,7 @@ def calendar(spark: SparkSession, root: str) -> DataFrame:
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").selectExpr(
-        "doc_id", "left(text, 40) as title", "text as snippet", "text as content"
+        "doc_id", "source || ' ' || doc_id as title", "text as snippet", "text as content"
     )
 
 
@@ -258,7 +258,7 @@ _CTES = {
     "from conversations join supplier on conv_id % 10 = s_suppkey",
     "calendar": "select cast(event_id as varchar) as event_id, event_type || ' with ' || s_name as title, "
     "props as description, ts - to_days(9000) as event_date from events join supplier on user_id % 10 = s_suppkey",
-    "docs": "select doc_id, left(text, 40) as title, text as snippet, text as content from documents",
+    "docs": "select doc_id, source || ' ' || doc_id as title, text as snippet, text as content from documents",
     "kg": "select 'ent_' || s_suppkey as entity_id, s_name as canonical_name, "
     "['ALIAS ' || s_name || ' INC', 'SUP-' || s_suppkey] as aliases, "
     "case when s_nationkey % 2 = 0 then 'supplier' else 'contractor' end as entity_type from supplier",

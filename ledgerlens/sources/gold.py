@@ -90,8 +90,8 @@ def last_audit_timestamp(workflow_state: DataFrame, default: str = "2025-01-01")
 
 
 def new_transactions(
-    txns: DataFrame, since: str, limit: int | None = 1000, created_col: str = "created_at"
+    txns: DataFrame, since: str, limit: int | None = None, created_col: str = "created_at"
 ) -> DataFrame:
-    """Rows created strictly after ``since``, oldest first; the first ``limit`` (None: all, unsorted)."""
+    """Rows created strictly after ``since``; with ``limit`` the oldest ones, in order."""
     fresh = txns.filter(F.col(created_col) > F.lit(since).cast("timestamp"))
     return fresh if limit is None else fresh.orderBy(created_col, "txn_id").limit(limit)

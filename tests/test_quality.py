@@ -34,7 +34,10 @@ def test_duplicates(spark, small_limits):
 
 def test_duplicate_groups_limit_rows_before_the_shuffle(spark):
     df = gold(spark, [(str(i), 1.0, "A", None, 0) for i in range(50)])
-    out = quality.duplicate_groups(df, ["vendor"])
+    assert [sorted(r.ids) for r in quality.duplicate_groups(df, ["vendor"]).collect()] == [sorted(str(i) for i in range(50))]
+    dealt = quality.duplicate_groups(df, ["vendor"], ids_per_row=10).collect()
+    assert len(dealt) > 1 and sorted(i for r in dealt for i in r.ids) == sorted(str(i) for i in range(50)) and {r["count"] for r in dealt} == {50}
+    out = quality.duplicate_groups(df, ["vendor"], max_ids=5)
     assert out.first().ids == ["0", "1", "10", "11", "12"]
     assert "WindowGroupLimit" in out._jdf.queryExecution().optimizedPlan().toString()
 
