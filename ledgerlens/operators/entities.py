@@ -52,7 +52,7 @@ def vendor_similarity_lev(pairs: DataFrame, a: str = "vendor_a", b: str = "vendo
     return pairs.withColumn("similarity", levenshtein_ratio(F.col(a), F.col(b)))
 
 
-def fuzzy_vendor_pairs(s1: DataFrame, s2: DataFrame, threshold: float = 0.85) -> DataFrame:
+def fuzzy_vendor_pairs_sequence(s1: DataFrame, s2: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Distinct vendor names of two sources whose Ratcliff/Obershelp similarity reaches ``threshold``.
 
     Blocking loses nothing: a ratio of at least t over lengths la, lb means that the names share a common
@@ -98,3 +98,57 @@ def fuzzy_vendor_pairs(s1: DataFrame, s2: DataFrame, threshold: float = 0.85) ->
     pairs = pieces.join(parts, "piece").filter(fits).select("vendor_a", "vendor_b").distinct()
     scored = pairs.withColumn("similarity", sequence_ratio(F.col("vendor_a"), F.col("vendor_b")))
     return scored.filter(F.col("similarity") >= threshold)
+
+
+def fuzzy_vendor_pairs(s1: DataFrame, s2: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Distinct vendor names of two sources whose Levenshtein similarity (lower case, trimmed, three decimals) reaches ``threshold``.
+
+    Names of the first source are cut into one segment more than edits are allowed at their length, so that one segment survives in
+    every name that is near enough. The index key is (length, segment number, segment). A name of the second source looks up, for
+    every length it may pair with, only substrings at the places where that segment can stand after the edits before it and those
+    left behind it. Short segments only meet names of their own length and number, so no key joins everything. Then the
+    JVM compares the pairs that are left. Missing and empty names pair with nothing. Thresholds start at 0.55: below, short names
+    may lose all their segments.
+    """
+    if threshold < 0.55:
+        raise ValueError("the threshold must be at least 0.55")
+    least = threshold - 0.0005  # similarities are rounded before they are compared
+
+    def names(df: DataFrame, vendor: str, s: str) -> DataFrame:
+        return df.filter("vendor is not null").select(F.col("vendor").alias(vendor), F.lower(F.trim("vendor")).alias(s)).distinct().filter(F.length(s) > 0)
+
+    def most_edits(longer):
+        return F.floor(longer * F.lit(1 - least) + F.lit(1e-9)).cast("int")
+
+    def place(i, n, parts):
+        """Start of segment ``i`` of ``parts`` in a name of length ``n``."""
+        return F.floor(i * n / parts).cast("int")
+
+    la, lb = F.col("la"), F.col("lb")
+    # the longest partner of a name of length la has floor(la / least) letters
+    edits = most_edits(F.floor(la / F.lit(least) + F.lit(1e-9)))
+    parts = F.least(edits + 1, la)
+    start, end = place(F.col("i"), la, parts), place(F.col("i") + 1, la, parts)
+    index = (
+        names(s1, "vendor_a", "a")
+        .withColumn("la", F.length("a"))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .select("vendor_a", "a", "la", "i", F.substr(F.col("a"), start + 1, end - start).alias("segment"))
+    )
+    shift = lb - la
+    lowest = F.greatest(start - F.col("i"), start + shift - (edits - F.col("i")), F.lit(0))
+    highest = F.least(start + F.col("i"), start + shift + (edits - F.col("i")), lb - (end - start))
+    # segments beyond the letters of a very short name do not exist
+    probes = (
+        names(s2, "vendor_b", "b")
+        .withColumn("lb", F.length("b"))
+        .withColumn("la", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(lb * F.lit(least) - F.lit(1e-9)).cast("int")), F.floor(lb / F.lit(least) + F.lit(1e-9)).cast("int"))))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .withColumns({"lowest": lowest, "highest": highest, "size": end - start})
+        .filter("lowest <= highest")
+        .withColumn("at", F.explode(F.sequence("lowest", "highest")))
+        .select("vendor_b", "b", "la", "i", F.substr(F.col("b"), F.col("at") + 1, F.col("size")).alias("segment"))
+    )
+    pairs = index.join(probes, ["la", "i", "segment"]).select("vendor_a", "a", "vendor_b", "b").distinct()
+    scored = pairs.withColumn("similarity", levenshtein_ratio(F.col("a"), F.col("b")))
+    return scored.filter(F.col("similarity") >= threshold).select("vendor_a", "vendor_b", "similarity")

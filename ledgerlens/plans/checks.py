@@ -619,12 +619,24 @@ def vendor_similarity_lev(spark, root):
     return scored.groupBy("vendor_a", "vendor_b", "similarity").agg(F.count("*").alias("n"))
 
 
-@query("fuzzy_vendor_pairs")
-def fuzzy_vendor_pairs(spark, root):
+def _part_names(spark, root):
     parts = tb.table(spark, root, "part")
-    a = parts.selectExpr("p_name as vendor")
-    b = parts.selectExpr("p_name || ' co' as vendor")
-    return entities.fuzzy_vendor_pairs(a, b, 0.85)
+    return parts.selectExpr("p_name as vendor"), parts.selectExpr("p_name || ' co' as vendor")
+
+
+@query(
+    "fuzzy_vendor_pairs",
+    "with a as (select distinct p_name as x from part), s as (select a.x as vendor_a, b.x || ' co' as vendor_b, round(1 - "
+    "levenshtein(lower(trim(a.x)), lower(trim(b.x || ' co')))::double / greatest(length(trim(a.x)), length(trim(b.x || ' co'))), 3) as similarity "
+    "from a, a b) select * from s where similarity >= 0.7",
+)
+def fuzzy_vendor_pairs(spark, root):
+    return entities.fuzzy_vendor_pairs(*_part_names(spark, root), 0.7)
+
+
+@query("fuzzy_vendor_pairs_sequence")
+def fuzzy_vendor_pairs_sequence(spark, root):
+    return entities.fuzzy_vendor_pairs_sequence(*_part_names(spark, root), 0.85)
 
 
 _RECEIPT_BEST = """

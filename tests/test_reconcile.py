@@ -155,7 +155,39 @@ def test_fuzzy_pairs_equal_brute_force(spark):
     want = sorted((x, y, ratio(x, y)) for x in a for y in b if ratio(x, y) >= 0.85)
     sa = spark.createDataFrame([(x,) for x in a], "vendor string")
     sb = spark.createDataFrame([(x,) for x in b], "vendor string")
-    assert rows(entities.fuzzy_vendor_pairs(sa, sb), "vendor_a", "vendor_b", "similarity") == sorted(want, key=repr)
+    assert rows(entities.fuzzy_vendor_pairs_sequence(sa, sb), "vendor_a", "vendor_b", "similarity") == sorted(want, key=repr)
+
+
+def levenshtein(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x):
+        last, row[0] = row[0], i + 1
+        for j, d in enumerate(y):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (c != d))
+    return row[-1]
+
+
+@pytest.mark.parametrize("threshold", [0.55, 0.7, 0.85, 0.95, 1.0])
+def test_segment_index_loses_no_pair(spark, threshold):
+    rng = random.Random(6)
+    base = ["starbucks coffee", "amazon marketplace eu", "aaaaaaaa", "abababababab", "hilton", "ab", "x"]
+
+    def spoil(name):
+        chars = list(name)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(chars) + 1)
+            chars[at : at + rng.randrange(2)] = rng.choice(["", "a", "b", "ab", "z"])
+        return "".join(chars) or "x"
+
+    sides = [[*{spoil(n) for n in base for _ in range(12)}, " Hilton ", "", None, "HILTON", "HILTON"] for _ in range(2)]
+    want = set()
+    for x in sides[0]:
+        for y in sides[1]:
+            a, b = (x or "").strip().lower(), (y or "").strip().lower()
+            if a and b and (s := round(1 - levenshtein(a, b) / max(len(a), len(b)) + 1e-12, 3)) >= threshold:
+                want.add((x, y, s))
+    frames = [spark.createDataFrame([(x,) for x in side], "vendor string") for side in sides]
+    assert rows(entities.fuzzy_vendor_pairs(*frames, threshold), "vendor_a", "vendor_b", "similarity") == sorted(want, key=repr)
 
 
 def test_entities(spark):
