@@ -1,6 +1,6 @@
 """Helpers that keep one hot key from landing in one task.
 
-They measure before they plan: rows per key are counted (the counts combine on the map side, so only one
+Ordered windows and row numbers measure before they plan: rows per key are counted (the counts combine on the map side, so only one
 row per key and task is shuffled), and only if a key is heavy does the plan take the longer form. At most
 ``HEAVY_KEYS`` keys, the largest ones, are treated as heavy, so whatever is built from them has a proven
 bound and may be broadcast; every other key has fewer than ``HEAVY_ROWS`` rows or at most one part in
@@ -46,23 +46,11 @@ def join_unique(
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has at most one row per key. ``how``: left, inner, left_semi, left_anti.
 
-    Rows of heavy keys meet a broadcast of the few right rows they need (at most ``HEAVY_KEYS``) and are not
-    shuffled at all; the rest is an ordinary join. Rows with a NULL key match nothing, so they take
-    the broadcast branch too and never pile up in one task. ``counts`` (keys, n) saves counting.
+    An ordinary join: as only the left side can be skewed, adaptive execution may cut its large partitions for each of these
+    kinds, also one of NULL keys, and reads the small right partition for each piece. Nothing is counted beforehand
+    (``counts`` is accepted and not needed).
     """
-    keys = list(keys)
-    any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    if counts is None:
-        counts = left.groupBy(*keys).agg(F.count("*").alias("n"))
-    heavy = heavy_keys(counts, keys)
-    if heavy is None:
-        return left.join(right, keys, how)
-    heavy = heavy.select(*keys)
-    marked = left.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), keys, "left")
-    hot = marked.filter(F.col("_heavy").isNotNull() | any_null).drop("_heavy")
-    cold = marked.filter(F.col("_heavy").isNull() & ~any_null).drop("_heavy")
-    hot_right = right.join(F.broadcast(heavy), keys, "left_semi")
-    return hot.join(F.broadcast(hot_right), keys, how).unionByName(cold.join(right, keys, how))
+    return left.join(right, list(keys), how)
 
 
 def split_heavy(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, bool]:

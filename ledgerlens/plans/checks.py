@@ -1434,6 +1434,46 @@ def lineage(spark, root):
     return trail.lineage(cards, reconcile.match_candidates(cards, bank), tb.flags(spark, root))
 
 
+_LINEAGE_CTES = (
+    "edges as materialized (select 'raw:credit_card/' || txn_id as x, 'gold:' || txn_id as y from cards "
+    "union all select 'raw:bank/' || txn_id, 'gold:' || txn_id from bank "
+    "union all select 'gold:' || source_1_id, 'gold:' || source_2_id from pairs "
+    "union all select 'gold:' || transaction_id, 'signal:' || f || '/' || transaction_id from (select *, unnest(factors) as f from flags) "
+    "union all select 'signal:' || f || '/' || transaction_id, 'flag:' || flag_id from (select *, unnest(factors) as f from flags))"
+)
+
+
+def _lineage_sql(start: str, here: str, there: str) -> str:
+    """DuckDB's recursion over the edges, and the least depth of each node."""
+    walk = (
+        f"walk as (select start, start as node, 0 as depth from ({start}) union select w.start, e.{there}, w.depth + 1 from walk w "
+        f"join edges e on e.{here} = w.node where w.depth < 12)"
+    )
+    body = f"{_matching_oracle()}, {_LINEAGE_CTES}, {walk} select start, node, min(depth)::int as depth from walk where depth > 0 group by 1, 2"
+    text = sql(f"with {body}", "cards", "bank", "flags")
+    return "with recursive " + text[5:]
+
+
+def _matched_lineage(spark, root):
+    """Edges of cards and bank rows with the one-to-one pairs."""
+    cards, bank = tb.cards(spark, root), tb.bank(spark, root)
+    return trail.lineage(cards.unionByName(bank), matching.match_one_to_one(cards, bank), tb.flags(spark, root))
+
+
+@query("lineage_ancestors", _lineage_sql("select 'flag:' || flag_id as start from flags", "y", "x"))
+def lineage_ancestors(spark, root):
+    """From every flag back to the raw rows."""
+    starts = tb.flags(spark, root).select(F.concat(F.lit("flag:"), F.col("flag_id")).alias("node"))
+    return trail.ancestors(_matched_lineage(spark, root), starts)
+
+
+@query("lineage_descendants", _lineage_sql("select 'raw:credit_card/' || txn_id as start from cards", "x", "y"))
+def lineage_descendants(spark, root):
+    """From every raw card row on to matches, findings and flags."""
+    starts = tb.cards(spark, root).select(F.concat(F.lit("raw:credit_card/"), F.col("txn_id")).alias("node"))
+    return trail.descendants(_matched_lineage(spark, root), starts)
+
+
 @query(
     "latest_state",
     sql(

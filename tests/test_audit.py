@@ -144,3 +144,23 @@ def test_injected_corruption_is_found(spark):
     truth = job.truth.selectExpr("'m' as dataset_name", "txn_id")
     totals = job.data.selectExpr("1 as one").groupBy().count().selectExpr("'m' as dataset_name", "count as total_rows")
     assert evaluate.confusion_matrix(found, truth, totals).first().f1_score == 1.0
+
+
+def test_reachable_equals_a_search(spark):
+    import random
+
+    from ledgerlens.operators import trail
+
+    rng = random.Random(4)
+    edges = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(45)] + [("n1", "n1"), ("n2", "n3"), ("n3", "n2")]
+    df = spark.createDataFrame(edges, "from_node string, to_node string")
+    starts = ["n1", "n2", "n7", "absent"]
+    frame = spark.createDataFrame([(s,) for s in [*starts, "n1", None]], "node string")
+    for backward in (False, True):
+        want = []
+        for s in starts:
+            depth, front = {s: 0}, [s]
+            while front:
+                front = [y for x in front for a, b in edges for y in [(a if backward else b)] if (b if backward else a) == x and y not in depth and not depth.update({y: depth[x] + 1})]
+            want += [(s, n, d) for n, d in depth.items() if d]
+        assert rows(trail.reachable(df, frame, backward), "start", "node", "depth") == sorted(want, key=repr)

@@ -19,11 +19,26 @@ def test_join_unique_equals_plain_join_with_heavy_and_null_keys(spark, small_lim
     assert rows(got, *got.columns) == rows(want, *want.columns)
 
 
-def test_heavy_rows_meet_a_broadcast(spark, small_limits):
-    left = spark.range(200).select(F.lit("hot").alias("k"), "id")
-    right = spark.createDataFrame([("hot", 1)], "k string, v int")
-    plan = join_unique(left, right, ["k"])._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_join_unique_is_cut_where_the_left_side_is_skewed(spark, how):
+    """No counting beforehand; adaptive execution cuts the hot partition of the left side."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        # the hot key, then NULL keys, each in most rows
+        for hot in ("'hot'", "cast(null as string)"):
+            left = spark.range(0, 60_000, 1, 8).selectExpr(f"case when id % 10 < 8 then {hot} else 'k' || id % 500 end as k", "id")
+            right = spark.range(500).selectExpr("'k' || id as k", "id as v").union(spark.createDataFrame([("hot", 1)], "k string, v long"))
+            out = join_unique(left, right, ["k"], how)
+            out.collect()
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            if hot == "'hot'" or how in ("left", "left_anti"):
+                assert "skew=true" in plan, plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("keys", [[], ["g"]])
