@@ -1244,6 +1244,54 @@ def run_audit(spark, root):
     return result.flags.select("transaction_id", "severity_level", joined("factors"), "confidence_score")
 
 
+_FULL = AnomalyParams(profile_sigma=1.6, amount_sigma=1.6, high_risk=30)
+_FULL_SQL = sql(
+    f"with {_matching_oracle()}, an as materialized (select * from ({ORACLES['anomaly_report']})), en as materialized (select * from ({ORACLES['enriched_transactions']})), "
+    "j as (select c.*, c.txn_id in (select source_1_id from pairs) as matched, coalesce(an.anomaly_score, 0) as anomaly, coalesce(email_approval, false) as mail, "
+    "coalesce(receipt_found, false) as receipt from cards c left join an using (txn_id) left join en using (txn_id)), "
+    "s as (select *, 40 * (not matched)::int + 30 * (anomaly > 30)::int + 20 * (not mail)::int + 10 * (not receipt)::int as score, "
+    "concat_ws(',', case when not matched then 'no_reconciliation_match' end, case when anomaly > 30 then 'high_anomaly_score' end, "
+    "case when not mail then 'no_email_approval' end, case when not receipt then 'no_receipt' end) as factors, "
+    "(not matched)::int + (anomaly > 30)::int + (not mail)::int + (not receipt)::int as n from j "
+    "where not matched or anomaly > 0 or vendor is null or amount is null or date is null), "
+    "f as (select txn_id as transaction_id, case when score >= 80 then 'CRITICAL' when score >= 50 then 'WARNING' else 'INFO' end as severity_level, factors, "
+    "round(least(n / 3.0, 1), 2)::double as confidence_score, amount from s where score >= 20) "
+    "select transaction_id, severity_level, factors, confidence_score from f where not (severity_level = 'INFO' and coalesce(amount < 50, false))",
+    "cards",
+    "bank",
+)
+
+
+def _full_audit(spark, root):
+    tables = tb.cards(spark, root), tb.bank(spark, root), tb.emails(spark, root), tb.calendar(spark, root), tb.receipts_ocr(spark, root)
+    return audit.full_audit(*tables, "run-1", AS_OF, anomaly=_FULL)
+
+
+@query("full_audit", _FULL_SQL)
+def full_audit(spark, root):
+    return _full_audit(spark, root).flags.select("transaction_id", "severity_level", joined("factors"), "confidence_score")
+
+
+@query(
+    "full_audit_trail",
+    sql(
+        f"with f as materialized (select * from ({_FULL_SQL})), {_matching_oracle()}, an as materialized (select * from ({ORACLES['anomaly_report']})), "
+        "q as (select 1 - sum((vendor is null)::int + (amount is null)::int + (date is null)::int + (source is null)::int) / (count(*) * 4)::double as c from cards) "
+        "select 1::bigint as log_sequence_number, 'DataQuality' as agent_name, 'completeness ' || round(c, 3) as output_summary from q "
+        "union all select 2, 'Reconciliation', (select count(*) from pairs) || ' pairs' "
+        "union all select 3, 'AnomalyDetection', (select count(*) from an where anomaly_score > 0) || ' anomalous ids' "
+        "union all select 4, 'ContextEnrichment', count(*) || ' suspicious ids' from cards where txn_id not in (select source_1_id from pairs) "
+        "or txn_id in (select txn_id from an where anomaly_score > 0) or vendor is null or amount is null or date is null "
+        "union all select 5, 'Escalation', count(*) || ' flags' from f "
+        "union all select 6, 'Logging', count(*) || ' rows audited' from cards",
+        "cards",
+        "bank",
+    ),
+)
+def full_audit_trail(spark, root):
+    return _full_audit(spark, root).trail.select("log_sequence_number", "agent_name", "output_summary")
+
+
 @query("run_audit_summary")
 def run_audit_summary(spark, root):
     return audit.run_audit(tb.cards(spark, root, repeated_ids=True), tb.bank(spark, root), "run-1", AS_OF).summary

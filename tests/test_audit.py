@@ -164,3 +164,37 @@ def test_reachable_equals_a_search(spark):
                 front = [y for x in front for a, b in edges for y in [(a if backward else b)] if (b if backward else a) == x and y not in depth and not depth.update({y: depth[x] + 1})]
             want += [(s, n, d) for n, d in depth.items() if d]
         assert rows(trail.reachable(df, frame, backward), "start", "node", "depth") == sorted(want, key=repr)
+
+
+def test_full_audit_with_learned_rules(spark):
+    from ledgerlens.params import AnomalyParams
+    from ledgerlens.plans.audit import full_audit, learned
+
+    cards = gold(
+        spark,
+        [("ok", 100.0, "A", "1", 1), ("seen", 100.0, "B", "2", 1), ("lone", 900.0, "C", "3", 1), ("mail", 900.0, "D", "4", 1), ("twice", 100.0, "A", "1", 1), ("twice", 100.0, "A", "1", 1), ("void", None, "A", "1", 2), ("tiny", 5.0, "E", "5", 1)],
+    )
+    bank = gold(spark, [(f"b{i}", 100.0, v, k, 1) for i, (v, k) in enumerate([("A", "1"), ("B", "2"), ("A", "1"), ("A", "1")])], "bank")
+    emails = spark.createDataFrame([("e1", "D order", "", "x", "t", at(1)), ("e2", "Re", "approved", "boss", "t", at(2))], "email_id string, subject string, body string, sender string, thread_id string, email_date timestamp")
+    events = spark.createDataFrame([], "event_id string, title string, description string, event_date timestamp")
+    receipts = spark.createDataFrame([("r", "f.jpg", "D LTD", 900.0, at(1).date())], "receipt_id string, file_path string, ocr_vendor string, ocr_amount double, ocr_date date")
+    args = cards, bank, emails, events, receipts, "run", "2025-02-01"
+    run = full_audit(*args)
+    got = {r.transaction_id: (r.severity_level, tuple(r.factors)) for r in run.flags.collect()}
+    assert got == {
+        "lone": ("WARNING", ("no_reconciliation_match", "no_email_approval", "no_receipt")),
+        "mail": ("INFO", ("no_reconciliation_match",)),
+        "twice": ("INFO", ("no_email_approval", "no_receipt")),
+        "void": ("WARNING", ("no_reconciliation_match", "no_email_approval", "no_receipt")),
+        "tiny": ("WARNING", ("no_reconciliation_match", "no_email_approval", "no_receipt")),
+    }
+    steps = [(r.log_sequence_number, r.agent_name, r.output_summary) for r in run.trail.orderBy("log_sequence_number").collect()]
+    assert steps[1] == (2, "Reconciliation", "4 pairs") and steps[4] == (5, "Escalation", "5 flags") and len(steps) == 6
+    state, summary = run.state.first(), run.summary.first()
+    assert (state.workflow_status, summary.flags_created, summary.transactions_processed) == ("completed", 5, 8)
+    # what reviewers taught: vendor C is trusted, amounts may spread wider
+    rules = spark.createDataFrame([("whitelist:3", "true"), ("whitelist:4", "false"), ("amount_outlier.sigma", "3.5")], "rule string, value string")
+    vendors, params = learned(rules, cards, AnomalyParams())
+    assert [r.vendor for r in vendors.collect()] == ["C"] and params.amount_sigma == 3.5 and params.profile_sigma == 3.0
+    taught = {r.transaction_id: r.severity_level for r in full_audit(*args, rules=rules, include_forest=True).flags.collect()}
+    assert taught["lone"] == "INFO" and taught["void"] in ("WARNING", "CRITICAL")
