@@ -83,3 +83,26 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(source), IsNotNull(date), EqualTo(source,bank)" in plan
     assert "vendor" not in plan.split("ReadSchema")[1]
+
+
+def test_readers_tell_malformed_from_missing(spark, tmp_path):
+    from ledgerlens.schemas import JSON_EMAILS, RECEIPTS
+    from ledgerlens.sources import readers
+
+    (tmp_path / "r.csv").write_text("receipt_id,receipt_date,vendor_name,amount\n1,2025-01-02,A,5.5\n2,02.01.2025,,x\n3,,B,\n4,2025-02-30, ,1e3\n")
+    got = {r.receipt_id: r for r in readers.read_receipts(spark, str(tmp_path / "r.csv"), rejects=True).collect()}
+    assert [[(x.field, x.value) for x in got[i].rejects] for i in "1234"] == [[], [("receipt_date", "02.01.2025"), ("amount", "x")], [], [("receipt_date", "2025-02-30")]]
+    assert (got["1"].amount, got["2"].amount, got["3"].amount, got["4"].amount) == (5.5, None, None, 1000.0)
+    plain = readers.read_receipts(spark, str(tmp_path / "r.csv"))
+    assert plain.columns == RECEIPTS.fieldNames() and plain.count() == 4
+    folder = tmp_path / "json"
+    folder.mkdir()
+    (folder / "a.json").write_text('[{"email_id": "1", "attachments": ["x", "y"], "date": "2025-01-02T00:00:00Z"},\n {"email_id": "2", "attachments": 7, "extra": 1, "date": null}, {"email_id": {"a": 1}}]')
+    (folder / "b.json").write_text('{"email_id": "no array"}')
+    (folder / "c.json").write_text("[{broken")
+    (folder / "d.json").write_text("  ")
+    (folder / "e.json").write_text("[]")
+    out = readers.read_json_table(spark, str(folder), JSON_EMAILS, rejects=True).collect()
+    found = sorted((r.email_id or "", tuple((x.field, x.value) for x in r.rejects)) for r in out)
+    assert found == sorted([("1", ()), ("2", (("attachments", "7"),)), ("", (("email_id", '{"a":1}'),)), ("", (("$", '{"email_id": "no array"}'),)), ("", (("$", "[{broken"),))])
+    assert [r.attachments for r in out if r.email_id == "1"] == [["x", "y"]]
