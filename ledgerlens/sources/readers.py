@@ -50,7 +50,7 @@ def read_json_table(spark: SparkSession, path: str, schema: StructType, lines: b
     """JSON as a table. ``lines=False`` reads array files; ``lines=True`` reads splittable JSON lines.
 
     With ``rejects`` documents are read as variants: the elements of an array are dealt out to all tasks before their fields are taken, fields
-    that do not fit are reported with their JSON text, and a document that is no JSON (or no array) is one row with field ``$``.
+    that do not fit are reported with their JSON text (a text field takes any value, as its JSON), and a document that is no JSON (or no array) is one row with field ``$``.
     """
     if not rejects:
         return spark.read.schema(schema).json(path, multiLine=not lines)
