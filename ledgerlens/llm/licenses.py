@@ -33,6 +33,7 @@ KNOWN = [
     ("MIT", _MIT_GRANT),
     ("MIT", "MIT License\n\n" + _MIT_GRANT),
     ("MIT", "The MIT License (MIT)\n\n" + _MIT_GRANT),
+    ("MIT", "The MIT License\n\n" + _MIT_GRANT),
     ("ISC", _ISC_GRANT + "\n\n" + _ISC_END),
     ("ISC", "ISC License\n\n" + _ISC_GRANT + "\n\n" + _ISC_END),
     ("BSD-2-Clause", _BSD_START + _BSD_END),
@@ -48,11 +49,29 @@ KNOWN = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
+# SHA-256 of the canonical whole texts of longer licences, as the systems' packages ship them.
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "59fc4bfd310bca26ce67a2ddcefeb4fe9694a70737d94908f69eeb6d0942dba2"),
+    ("Artistic-1.0-Perl", "2d660626e0c71ec2936f0c39b004baf073f7a8d645b56b6191daca4bb56a0e3a"),
+    ("BSD-3-Clause", "48c8a35a4353dae3524b849cfd2c781b3c935e964f465e15fb0bc23f23cf96ad"),
+    ("CC0-1.0", "bd0e52fb1af40ab9797ba72f1d627b83d449e9926f66d21c51209413ac988137"),
+    ("GFDL-1.2", "8aeaf5e8e3488d7c9d65e8416c911f7fe37b3bd88429feabc64ec6283117b8eb"),
+    ("GFDL-1.3", "fb286966d28cff8aa94a7303127495846303801d66ef183d841d5971038d2aa0"),
+    ("GPL-1.0", "3b7c00b08d5c6de2349faf7a31bb6e49ff8a2273a7cfdd16f96859720b00d9ef"),
+    ("GPL-2.0", "9aae015a6322bbdec1a61c624a33b2c7d3b56283db1642e6e18d7820d4957b61"),
+    ("GPL-3.0", "6ff3a9a8b11f055a64cb21003d19dbe88dd6a41f7487672c402dfe38b6fe2582"),
+    ("LGPL-2.0", "2f0a8618627c179dd830ddb8fa74635ae037468a5880f3b46a73915ae1990c24"),
+    ("LGPL-2.1", "56d21d93f6012cbd7f1195b72528da245ccf843598ff833a87101eb36863f95b"),
+    ("LGPL-3.0", "f0cae4b317f4f263dca8e79625f8d9c7618c87e0ca6665c79b0f1c12ac856938"),
+    ("MPL-1.1", "cd5de03902834de96800990f6dd3416470bf9f581eab90fe12aa8f43b6574a9c"),
+    ("MPL-2.0", "a90ba5346ad1927fede05edb2d96afdd4948d68d16cef5d29e84239426134356"),
+]
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("per cent", "percent"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("organisation", "organization"), ("favour", "favor")]
 #: Known digests that are sent to every executor, at most (about 100 bytes each).
 BROADCAST_ROWS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_COPYRIGHT = r"(^|\n)[ \t]*(?:copyright[ \t]+(?:\(c\)|©|[0-9])|(?:\(c\)|©)[ \t]*[0-9a-z]|all rights reserved)[^\n]*"
+#: A copyright line, also behind a comment mark: the word with a sign or a year, the sign alone, or the reservation of rights.
+_COPYRIGHT = r"(^|\n)[ \t#/*;%-]*(?:copyright[ \t:]+(?:\(c\)|©|[0-9])|copyright[ \t:][^\n]{0,120}(?:19|20)[0-9][0-9]|(?:\(c\)|©)[ \t]*[0-9a-z]|all rights reserved)[^\n]*"
 _MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©‘’“”–—]+"
 
 
@@ -67,10 +86,12 @@ def canonical(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(out), F.lit(" "))
 
 
-def known_digests(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """license_id and digest of known licence texts, one row per digest; two licences with one digest give the first by name."""
+def known_digests(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = KNOWN_DIGESTS) -> DataFrame:
+    """license_id and digest of known licence texts and of known digests, one row per digest; two licences with one digest give the
+    first by name."""
     rows = spark.createDataFrame(texts, "license_id string, body string")
-    return rows.select("license_id", F.sha2(canonical(F.col("body")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    given = spark.createDataFrame(digests, "license_id string, digest string")
+    return rows.select("license_id", F.sha2(canonical(F.col("body")), 256).alias("digest")).union(given).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -107,8 +128,13 @@ def _sql_canonical(text: str) -> str:
 
 def sql() -> str:
     values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
+    digests = ", ".join(f"('{i}', '{d}')" for i, d in KNOWN_DIGESTS)
     return f"""
-WITH known AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, sha256({_sql_canonical("body")}) AS digest FROM (VALUES {values}) v(license_id, body)) GROUP BY digest),
+WITH known AS (
+  SELECT digest, min(license_id) AS license_id FROM (
+    SELECT license_id, sha256({_sql_canonical("body")}) AS digest FROM (VALUES {values}) v(license_id, body) UNION ALL SELECT * FROM (VALUES {digests}) w(license_id, digest)
+  ) GROUP BY digest
+),
 d AS (SELECT row_number() OVER () AS r, doc_id, text, sha256({_sql_canonical("text")}) AS text_digest FROM documents),
 l AS (SELECT r, sha256({_sql_canonical("line")}) AS digest FROM (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d)),
 f AS (SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses FROM l JOIN known USING (digest) GROUP BY r)

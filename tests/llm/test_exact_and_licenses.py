@@ -1,4 +1,5 @@
 import hashlib
+import pathlib
 import re
 from collections import defaultdict
 
@@ -64,3 +65,23 @@ def test_licenses(spark):
         (3, "", ""), (4, "", ""), (5, "", ""), (6, "", "CC-BY-NC-4.0,MIT"), (7, "MIT", "MIT"), (7, "MIT", "MIT"), (8, "", ""),
     ]
     assert licenses.scan_licenses(spark.createDataFrame([], DOCS), licenses.known_digests(spark)).count() == 0
+
+
+def test_head_lines_and_copyright_forms(spark):
+    mit = licenses.KNOWN[0][1]
+    heads = ["# Copyright (c) 2020 X", "// Copyright 2020 X", " * Copyright John Doe 2020", "Copyright: 2020", "The MIT License\n\nCopyright (C) 2019, 2020 X", "MIT License\n\n(c) X\nAll rights reserved."]
+    rows = [(i, f"{h}\n\n{mit}", "", 0) for i, h in enumerate(heads)] + [(90, "We hold the copyright of this text. " + mit, "", 0)]
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS), licenses.known_digests(spark)).collect()}
+    assert got == {**{i: "MIT" for i in range(len(heads))}, 90: None}
+
+
+def test_whole_licence_files(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    there = [f for f in files if (folder / f).exists()]
+    if not there:
+        pytest.skip("no licence files on this system")
+    # other line breaks, case and marks
+    rows = [(i, re.sub(r"\s+", " ", (folder / f).read_text()).upper() if f == "MPL-2.0" else (folder / f).read_text().replace("\n", "\r\n"), "", 0) for i, f in enumerate(there)]
+    got = {there[r.doc_id]: r.license_id for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS), licenses.known_digests(spark)).collect()}
+    assert got == {f: files[f] for f in there}
