@@ -77,7 +77,8 @@ _MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©‘’“”–—]+"
 
 def canonical(text: Column) -> Column:
     """``text`` in lower case (A to Z), without copyright lines, each run of marks and white space as one blank, with one
-    spelling for equivalent ones, and blank at both ends. Null gives a single blank, as does a text without words."""
+    spelling for equivalent ones, and blank at both ends. Null gives a single blank, as does a text without words. Lines that begin
+    with (c) count as copyright lines, also items of a list, so a licence with such items must keep its line breaks."""
     out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
     out = F.regexp_replace(out, _COPYRIGHT, "$1")
     out = F.concat(F.lit(" "), F.regexp_replace(out, _MARKS, " "), F.lit(" "))
