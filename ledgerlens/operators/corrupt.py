@@ -1,7 +1,7 @@
 """Corruption jobs: clean tables in, corrupted tables and their ground truth out.
 
 Choices come from hashes of the seed and the row's id, so a job repeats exactly on any cluster. Sizes are
-exact: rows are ranked by hash with ``number_rows``, which also splits a hot category. Expense ids must be
+exact: rows are counted by the first digits of the hash, and only those around the limit are ranked. Expense ids must be
 unique in the clean table.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import cut
@@ -38,25 +38,37 @@ def _fraction(seed: int, purpose: str, *parts: Column) -> Column:
     return hash_fraction(F.lit(seed), F.lit(purpose), *parts)
 
 
-def _chosen(seed: int, purpose: str, ids: DataFrame, keys: list[str]) -> DataFrame:
-    """ids (with keys) and their rank by hash."""
+def _chosen(seed: int, purpose: str, ids: DataFrame, keys: list[str], quota: Column) -> DataFrame:
+    """ids (with keys, which are not NULL) and whether they are among the first ``quota`` of their key by hash.
+
+    Rows are counted by the first digits of the hash; that settles all but those of one value for each key, and only these are ranked.
+    """
     hashed = ids.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.lit(purpose), F.col("expense_id"))))
-    return cut(number_rows(hashed, keys, ["_h", "expense_id"], "rank").drop("_h"))
+    hashed = hashed.withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("_b"))
+    counted = hashed.groupBy(*keys, "_b").agg(F.count("*").alias("n")).withColumn("upto", upto)
+    edge = F.min(F.when(F.col("upto") > quota, F.struct("_b", (quota - F.col("upto") + F.col("n")).alias("need")))).alias("e")
+    edges = cut(counted.groupBy(*keys).agg(edge).select(*keys, F.coalesce("e._b", F.lit(4096)).alias("edge"), F.coalesce("e.need", F.lit(0)).alias("need")))
+    marked = hashed.join(edges, keys) if keys else hashed.crossJoin(F.broadcast(edges))
+    sure = marked.where("_b <> edge").select(*keys, "expense_id", (F.col("_b") < F.col("edge")).alias("picked"))
+    close = cut(marked.where("_b = edge").select(*keys, "need", "_h", "expense_id"))
+    ranked = number_rows(close, [*keys, "need"], ["_h", "expense_id"], "rank")
+    return sure.unionByName(cut(ranked.select(*keys, "expense_id", (F.col("rank") <= F.col("need")).alias("picked"))))
 
 
 def corrupt_missing(cards: DataFrame, rate: float = 0.15, seed: int = 42) -> Corrupted:
     """Null required fields in int(rows * rate) rows, spread evenly over categories as far as they reach."""
     ids = cards.select(F.coalesce("category", F.lit("")).alias("category"), "expense_id")
-    size = ids.agg(F.count("*").alias("n"), F.count_distinct("category").alias("c")).select(
+    size = cut(ids.agg(F.count("*").alias("n"), F.count_distinct("category").alias("c")).select(
         F.floor(F.col("n") * F.lit(rate) + F.lit(1e-9)).alias("quota"), "c"
-    )
+    ))
     quota, categories = size.select("quota").scalar(), size.select("c").scalar()
     share = F.coalesce(F.floor(F.try_divide(quota, categories)), F.lit(0))
-    ranked = _chosen(seed, "missing", ids, ["category"])
-    first = ranked.filter(F.col("rank") <= share).select("expense_id")
+    marked = cut(_chosen(seed, "missing", ids, ["category"], share))
+    first = marked.filter("picked").select("expense_id")
     missing_n = quota - first.agg(F.count("*")).scalar()
-    rest = _chosen(seed, "fill", ranked.filter(F.col("rank") > share).select("expense_id"), [])
-    picked = first.unionByName(rest.filter(F.col("rank") <= missing_n).select("expense_id"))
+    rest = _chosen(seed, "fill", marked.filter("NOT picked").select("expense_id"), [], missing_n)
+    picked = first.unionByName(rest.filter("picked").select("expense_id"))
     kind = _fraction(seed, "kind", F.col("expense_id"))
     picked = picked.withColumn(
         "nulled", F.when(kind < 0.5, F.lit("merchant")).when(kind < 0.8, F.lit("amount")).otherwise(F.lit("merchant,expense_date"))
@@ -78,9 +90,9 @@ def corrupt_missing(cards: DataFrame, rate: float = 0.15, seed: int = 42) -> Cor
 def corrupt_duplicates(cards: DataFrame, rate: float = 0.10, seed: int = 42) -> Corrupted:
     """Add two or three copies of int(rows * rate) rows, about half of them with the amount off by up to 5."""
     quota = cards.agg(F.floor(F.count("*") * F.lit(rate) + F.lit(1e-9)).alias("q")).scalar()
-    ranked = _chosen(seed, "duplicate", cards.select("expense_id"), [])
+    chosen = _chosen(seed, "duplicate", cards.select("expense_id"), [], quota)
     extra = F.when(_fraction(seed, "copies", F.col("expense_id")) < 0.5, F.lit(2)).otherwise(F.lit(3))
-    picked = ranked.filter(F.col("rank") <= quota).select("expense_id", extra.alias("copies"))
+    picked = cut(chosen.filter("picked").select("expense_id", extra.alias("copies")))
     copies = picked.withColumn("no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     near = _fraction(seed, "near", F.col("expense_id"), F.col("no")) >= 0.5
     shift = _fraction(seed, "shift", F.col("expense_id"), F.col("no")) * 10 - 5

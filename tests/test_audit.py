@@ -1,5 +1,6 @@
 import pytest
 from helpers import at, gold, rows
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import corrupt, escalate, evaluate, feedback, monitor, trail
 from ledgerlens.plans.audit import run_audit
@@ -198,3 +199,23 @@ def test_full_audit_with_learned_rules(spark):
     assert [r.vendor for r in vendors.collect()] == ["C"] and params.amount_sigma == 3.5 and params.profile_sigma == 3.0
     taught = {r.transaction_id: r.severity_level for r in full_audit(*args, rules=rules, include_forest=True).flags.collect()}
     assert taught["lone"] == "INFO" and taught["void"] in ("WARNING", "CRITICAL")
+
+
+@pytest.mark.parametrize("keys", [[], ["category"]])
+def test_rows_are_chosen_by_hash_and_only_those_at_the_limit_are_ranked(spark, monkeypatch, keys):
+    """As a ranking of all rows would choose, copies and missing ids included."""
+    import hashlib
+
+    ids = [("a" if i % 3 else "b", f"E{i % 17000}") for i in range(20_000)] + [("b", None), ("c", "E1")]
+    df = spark.createDataFrame(ids, "category string, expense_id string")
+    ranked = []
+    plain = corrupt.number_rows
+    monkeypatch.setattr(corrupt, "number_rows", lambda part, *a: ranked.append(part.count()) or plain(part, *a))
+    got = corrupt._chosen(42, "some", df, keys, F.lit(700)).where("picked")
+    want = []
+    for k in ("a", "b", "c") if keys else (None,):
+        part = [e for c, e in ids if k is None or c == k]
+        part.sort(key=lambda e: (hashlib.md5("|".join(["42", "some", *([] if e is None else [e])]).encode()).hexdigest(), e or ""))
+        want += part[:700]
+    assert sorted(map(str, (r.expense_id for r in got.collect()))) == sorted(map(str, want))
+    assert ranked[0] < 500

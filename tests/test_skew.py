@@ -62,3 +62,13 @@ def test_number_rows_splits_the_whole_table(spark, small_limits):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
     got = [tuple(r) for r in number_rows(df, [], ["v"]).collect()]
     assert sorted(got) == [(i, i + 1) for i in range(1000)]
+
+
+def test_number_rows_compares_no_row_with_every_limit(spark, small_limits, monkeypatch):
+    """A table without keys was cut by comparing each row with all limits; null keys have numbers of their own."""
+    from ledgerlens.functions import skew
+
+    monkeypatch.setattr(skew, "split_heavy", lambda *a: pytest.fail("limits"))
+    df = spark.createDataFrame([(None, 5), (None, 3), ("a", 1), ("a", 1), ("a", None)], "g string, o int")
+    assert rows(number_rows(df, ["g"], ["o"]), "g", "o", "row") == sorted([(None, 3, 1), (None, 5, 2), ("a", None, 1), ("a", 1, 2), ("a", 1, 3)], key=repr)
+    assert [r.row for r in number_rows(df, [], ["g", "o"]).orderBy("row").collect()] == [1, 2, 3, 4, 5]
