@@ -23,8 +23,6 @@ TERMS = 1 << 15
 DIMENSIONS = 64
 #: Words in a block; windows begin at blocks and hold whole blocks.
 BLOCK = 8
-#: The latent space is fitted on about so many rows, chosen by a hash of doc_id; every row is searched, and every row counts for the frequencies.
-FITTED_ROWS = 20_000
 #: Items that are searched at a time: what a task holds of the benchmark.
 ITEMS = 5_000
 #: Longer items are searched by pieces of so many words.
@@ -75,15 +73,14 @@ def term_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit_space(docs: DataFrame, seed: int = 7) -> LatentSpace:
-    """Frequencies over all rows, then the randomised SVD over about FITTED_ROWS rows (all, if there are fewer)."""
+    """Frequencies over all rows, then the randomised SVD over the passages of all rows."""
     frequency, rows = term_frequencies(docs)
     idf = np.log((1 + rows) / (1 + frequency)).astype(np.float32)
     mix = np.random.default_rng(seed).standard_normal((TERMS, DIMENSIONS)).astype(np.float32)
-    share = min(1.0, FITTED_ROWS / max(rows, 1))
     part = 512
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = np.random.default_rng(seed).standard_normal((TERMS, DIMENSIONS)).astype(np.float32)
+        weighted = np.random.default_rng(seed).standard_normal((TERMS, DIMENSIONS)).astype(np.float32) * idf[:, None]
         total = np.zeros((TERMS, DIMENSIONS), np.float32)
         for batch in slices(batches, "text", 1_000_000):
             words = Words(batch.column("text"), at_marks=True)
@@ -92,10 +89,11 @@ def fit_space(docs: DataFrame, seed: int = 7) -> LatentSpace:
                 continue
             t = _terms(words)
             block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(t))))
-            z = np.add.reduceat(random[t] * idf[t, None], starts) / np.maximum(np.add.reduceat(idf[t] ** 2, starts), 1e-9)[:, None]
+            z = np.add.reduceat(weighted[t], starts) / np.maximum(np.add.reduceat(idf[t] ** 2, starts), 1e-9)[:, None]
             order = np.argsort(t, kind="stable")
             first = np.flatnonzero(np.diff(t[order], prepend=-1))
-            total[t[order][first]] += np.add.reduceat(z[block[order]] * idf[t[order], None], first)
+            total[t[order][first]] += np.add.reduceat(z[block[order]], first)
+        total *= idf[:, None]
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(0, TERMS, part), pa.int32()), pa.array([total[i : i + part].tobytes() for i in range(0, TERMS, part)], pa.binary())], ["first", "sums"])
 
@@ -103,10 +101,8 @@ def fit_space(docs: DataFrame, seed: int = 7) -> LatentSpace:
         total = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in group.column("sums").to_pylist())
         return pa.table({"first": group.column("first")[:1], "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    # the least hashes, as many rows as the share promises at any number of rows
-    chosen = docs.where(F.shiftright(F.xxhash64(F.col("doc_id")), 1) <= int((share - 0.5) * float(1 << 63))).select(F.col("text").cast("string").alias("text"))
     # each task sends one matrix; they are added in two steps, so that no task gets them all
-    partial = chosen.mapInArrow(multiply, "first int, sums binary").withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(16)))
+    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(multiply, "first int, sums binary").withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(16)))
     sums = partial.groupBy("first", "deal").applyInArrow(add, "first int, sums binary").groupBy("first").applyInArrow(add, "first int, sums binary").toArrow()
     product = np.zeros((TERMS, DIMENSIONS))
     for first, blob in zip(sums.column("first").to_pylist(), sums.column("sums").to_pylist(), strict=True):

@@ -195,3 +195,11 @@ def test_leaks_equal_brute_force(spark, monkeypatch, block):
     empty = spark.createDataFrame([], DOCS)
     assert latent.find_leaks(empty, bench, latent.fit_space(empty)).count() == 0
     assert latent.find_leaks(df, spark.createDataFrame([], bench.schema), space).count() == 0
+
+
+def test_the_latent_space_is_fitted_on_every_row(spark):
+    """Words of single rows all have a place, in a table of more rows than were once sampled."""
+    df = spark.range(30_000).selectExpr("id as doc_id", "'w' || id as text")
+    frequency, rows = latent.term_frequencies(df)
+    size = np.linalg.norm(latent.fit_space(df).axes, axis=1)[frequency > 0]
+    assert rows == 30_000 and size.min() > 0.01 * np.median(size)
