@@ -23,6 +23,8 @@ TERMS = 1 << 15
 DIMENSIONS = 64
 #: Words in a block; windows begin at blocks and hold whole blocks.
 BLOCK = 8
+#: Terms in a piece of a matrix that tasks exchange.
+PART = 512
 #: Items that are searched at a time: what a task holds of the benchmark.
 ITEMS = 5_000
 #: Longer items are searched by pieces of so many words.
@@ -72,40 +74,56 @@ def term_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return table[1:], int(table[0])
 
 
-def fit_space(docs: DataFrame, seed: int = 7) -> LatentSpace:
-    """Frequencies over all rows, then the randomised SVD over the passages of all rows."""
-    frequency, rows = term_frequencies(docs)
-    idf = np.log((1 + rows) / (1 + frequency)).astype(np.float32)
-    mix = np.random.default_rng(seed).standard_normal((TERMS, DIMENSIONS)).astype(np.float32)
-    part = 512
+def _products(docs: DataFrame, idf: np.ndarray, seed: int) -> DataFrame:
+    """(first, sums): for each task the product of its passages, there and back, with the random matrix, in pieces of PART terms."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted = np.random.default_rng(seed).standard_normal((TERMS, DIMENSIONS)).astype(np.float32) * idf[:, None]
-        total = np.zeros((TERMS, DIMENSIONS), np.float32)
+        # a block shorter than BLOCK words is filled up with one more term, which weighs nothing
+        weighted = np.zeros((TERMS + 1, DIMENSIONS), np.float32)
+        weighted[:-1] = np.random.default_rng(seed).standard_normal((TERMS, DIMENSIONS)).astype(np.float32) * idf[:, None]
+        total = np.zeros((DIMENSIONS, TERMS), np.float32)
         for batch in slices(batches, "text", 1_000_000):
             words = Words(batch.column("text"), at_marks=True)
             starts, _ = _blocks(words)
             if not len(starts):
                 continue
             t = _terms(words)
-            block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(t))))
-            z = np.add.reduceat(weighted[t], starts) / np.maximum(np.add.reduceat(idf[t] ** 2, starts), 1e-9)[:, None]
-            order = np.argsort(t, kind="stable")
+            length = np.diff(np.append(starts, len(t)))
+            z = np.zeros((len(starts), DIMENSIONS), np.float32)
+            for k in [*range(1, BLOCK), 0]:
+                z += np.take(weighted, np.where(k < length, t[np.minimum(starts + k, len(t) - 1)], TERMS), axis=0, mode="clip")
+            z /= np.maximum(np.add.reduceat(idf[t] ** 2, starts), 1e-9)[:, None]
+            # words in the order of their terms; one dimension after the other, whose numbers stay in the cache
+            order = np.argsort(t.astype(np.uint16), kind="stable")
             first = np.flatnonzero(np.diff(t[order], prepend=-1))
-            total[t[order][first]] += np.add.reduceat(z[block[order]] * idf[t[order], None], first)
+            own, block, weight = t[order][first], np.repeat(np.arange(len(starts)), length)[order], idf[t[order]]
+            for d, column in enumerate(np.ascontiguousarray(z.T)):
+                total[d, own] += np.add.reduceat(np.take(column, block, mode="clip") * weight, first)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(0, TERMS, part), pa.int32()), pa.array([total[i : i + part].tobytes() for i in range(0, TERMS, part)], pa.binary())], ["first", "sums"])
+            total = np.ascontiguousarray(total.T)
+            yield pa.RecordBatch.from_arrays([pa.array(range(0, TERMS, PART), pa.int32()), pa.array([total[i : i + PART].tobytes() for i in range(0, TERMS, PART)], pa.binary())], ["first", "sums"])
+
+    # each task sends one matrix, so there are no more tasks than two for each core, however many files the documents are in
+    tasks = docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    return tasks.select(F.col("text").cast("string").alias("text")).mapInArrow(multiply, "first int, sums binary")
+
+
+def fit_space(docs: DataFrame, seed: int = 7) -> LatentSpace:
+    """Frequencies over all rows, then the randomised SVD over the passages of all rows."""
+    frequency, rows = term_frequencies(docs)
+    idf = np.log((1 + rows) / (1 + frequency)).astype(np.float32)
+    mix = np.random.default_rng(seed).standard_normal((TERMS, DIMENSIONS)).astype(np.float32)
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in group.column("sums").to_pylist())
         return pa.table({"first": group.column("first")[:1], "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    # each task sends one matrix; they are added in two steps, so that no task gets them all
-    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(multiply, "first int, sums binary").withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(16)))
+    # added in two steps, so that no task gets them all
+    partial = _products(docs, idf, seed).withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(16)))
     sums = partial.groupBy("first", "deal").applyInArrow(add, "first int, sums binary").groupBy("first").applyInArrow(add, "first int, sums binary").toArrow()
     product = np.zeros((TERMS, DIMENSIONS))
     for first, blob in zip(sums.column("first").to_pylist(), sums.column("sums").to_pylist(), strict=True):
-        product[first : first + part] = np.frombuffer(blob, np.float32).reshape(-1, DIMENSIONS)
+        product[first : first + PART] = np.frombuffer(blob, np.float32).reshape(-1, DIMENSIONS)
     if not product.any():
         return LatentSpace(idf, mix)
     # singular vectors of the passages' term matrix from its one product with the random matrix

@@ -203,3 +203,14 @@ def test_the_latent_space_is_fitted_on_every_row(spark):
     frequency, rows = latent.term_frequencies(df)
     size = np.linalg.norm(latent.fit_space(df).axes, axis=1)[frequency > 0]
     assert rows == 30_000 and size.min() > 0.01 * np.median(size)
+
+
+def test_the_fit_exchanges_a_bounded_number_of_matrices(spark):
+    """However many files hold the documents, two matrices for each core at most, with the products of every row."""
+    df = spark.range(120).selectExpr("id as doc_id", "concat('word', id % 7, ' of text number ', id, ' and of nothing else but the words in it') as text").repartition(60)
+    idf = np.ones(latent.TERMS, np.float32)
+    sums = latent._products(df, idf, 7).toPandas()
+    assert len(sums) <= 2 * spark.sparkContext.defaultParallelism * latent.TERMS // latent.PART
+    whole = latent._products(df.coalesce(1), idf, 7).toPandas()
+    total = lambda table: sum(np.frombuffer(b, np.float32).astype(float).sum() for b in table["sums"])
+    assert abs(total(sums) - total(whole)) < 1e-2
