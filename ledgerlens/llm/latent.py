@@ -118,8 +118,8 @@ def fit_space(docs: DataFrame, seed: int = 7) -> LatentSpace:
         total = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in group.column("sums").to_pylist())
         return pa.table({"first": group.column("first")[:1], "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    # added in two steps, so that no task gets them all
-    partial = _products(docs, idf, seed).withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(16)))
+    # sixteen are added at a time, so that no task gets them all
+    partial = _products(docs, idf, seed).withColumn("deal", F.shiftright(F.spark_partition_id(), 4))
     sums = partial.groupBy("first", "deal").applyInArrow(add, "first int, sums binary").groupBy("first").applyInArrow(add, "first int, sums binary").toArrow()
     product = np.zeros((TERMS, DIMENSIONS))
     for first, blob in zip(sums.column("first").to_pylist(), sums.column("sums").to_pylist(), strict=True):

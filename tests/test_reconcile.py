@@ -269,3 +269,19 @@ def test_matching_writes_no_rows_but_the_matches(spark, monkeypatch):
     got = matching.match_one_to_one(gold(spark, cards), gold(spark, bank, "bank"))
     assert got.count() == 44 and got.select("source_2_id").distinct().count() == 44
     assert not any("txn_id" in columns for columns in written)
+
+
+@pytest.mark.parametrize("similarity", ["levenshtein", "sequence"])
+def test_receipt_candidates_are_not_sorted(spark, monkeypatch, similarity):
+    """Candidates keep one number per receipt in a hash table; repeated transaction ids still give the amount of the best one."""
+    plans = []
+    plain = receipts.cut
+    monkeypatch.setattr(receipts, "cut", lambda df: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or plain(df))
+    txns = [("t", 101.0, "Acme", "1", 3), ("t", 103.0, "Acme", "1", 3), ("u", 103.0, "Acme", "1", 4), ("t", 99.5, "Other", "1", 3), (None, 50.0, "B", "1", 2)]
+    recs = [("r1", 100.0, "Acme", "1", 2), ("r2", 102.9, "Acme", "1", 2), ("r3", 51.0, "B", "1", 2), ("r4", 7.0, "B", "1", 2)]
+    got = receipts.match_receipts(gold(spark, recs), gold(spark, txns), similarity=similarity)
+    assert rows(got, "receipt_id", "matched_transaction_id", "amount_delta", "date_delta_days") == [
+        ("r1", "t", 1.0, 1), ("r2", "t", 0.1, 1), ("r3", None, 1.0, 0), ("r4", None, None, None)
+    ]
+    rings = [plan for columns, plan in plans if columns[:1] == ["rid"] and len(columns) == 2]
+    assert rings and not [plan for plan in rings if "SortAggregate" in plan]
