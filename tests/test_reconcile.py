@@ -285,3 +285,30 @@ def test_receipt_candidates_are_not_sorted(spark, monkeypatch, similarity):
     ]
     rings = [plan for columns, plan in plans if columns[:1] == ["rid"] and len(columns) == 2]
     assert rings and not [plan for plan in rings if "SortAggregate" in plan]
+
+
+def test_candidates_of_one_name_per_id_need_one_join(spark):
+    a = gold(spark, [("c1", 100.0, "V", "7", 0), ("c2", 50.0, None, None, 1)])
+    b = gold(spark, [("b1", 101.0, "V", "7", 1)], "bank")
+    got = reconcile.match_candidates(a, b)
+    assert rows(got, "source_1_id", "source_2_id") == [("c1", "b1")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+@pytest.mark.parametrize("dense_rows", [1, 12, 4096])
+def test_candidates_in_narrow_and_wide_cells(spark, monkeypatch, dense_rows):
+    monkeypatch.setattr(reconcile, "DENSE_ROWS", dense_rows)
+    rng = random.Random(dense_rows)
+    sides = [
+        [(f"{side}{i}", round(rng.uniform(60, 140), 2), rng.choice([None, "A", "B", "C"]), rng.choice([None, "", "1", "2"]), rng.randrange(30) + rng.choice([0, 0.5])) for i in range(60)]
+        for side in "cb"
+    ]
+    sides[1] += sides[1][:5]  # a row may come twice
+    got = reconcile.match_candidates(*(gold(spark, s) for s in sides))
+    want = [
+        (c[0], b[0])
+        for c in sides[0]
+        for b in sides[1]
+        if ((c[2] and c[2] == b[2]) or (c[3] and c[3] == b[3])) and abs(c[1] - b[1]) / c[1] <= 0.05 and abs((c[4] - b[4]) // 1) <= 3
+    ]
+    assert rows(got, "source_1_id", "source_2_id") == sorted(want) and len(want) > 20
