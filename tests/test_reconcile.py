@@ -312,3 +312,12 @@ def test_candidates_in_narrow_and_wide_cells(spark, monkeypatch, dense_rows):
         if ((c[2] and c[2] == b[2]) or (c[3] and c[3] == b[3])) and abs(c[1] - b[1]) / c[1] <= 0.05 and abs((c[4] - b[4]) // 1) <= 3
     ]
     assert rows(got, "source_1_id", "source_2_id") == sorted(want) and len(want) > 20
+
+
+def test_orphans_take_the_values_of_all_sources_once(spark):
+    """Keys are compared as numbers: a missing amount or date is a value, and -0.0 is not 0.0."""
+    a = gold(spark, [("a1", None, "V", None, 0), ("a2", float("nan"), "W", None, None), ("a3", 0.0, "V", None, 2), ("a4", 5.0, "V", None, 3)])
+    b = gold(spark, [("b1", float("nan"), "V", None, 0), ("b2", 1.0, "W", None, None), ("b3", -0.0, "V", None, 2), ("b4", 5.0, "V", None, 3)], "bank")
+    got = reconcile.orphan_transactions(a.unionByName(b), ["credit_card", "bank"])
+    assert rows(got, "txn_id") == [("a2",), ("a3",), ("b2",), ("b3",)]
+    assert "SortAggregate" not in got._jdf.queryExecution().toString()
