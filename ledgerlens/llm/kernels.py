@@ -43,6 +43,13 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _MARK = _BLANK.copy()
 _MARK[[*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
+#: Bytes whose hashes are added up at a time, so that they stay in the cache.
+_STEP = 1 << 15
+
+
+def _mapped(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``table`` (one byte or truth value for each byte) at every byte of ``raw``, read only."""
+    return np.frombuffer(raw.tobytes().translate(table.tobytes()), table.dtype)
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +69,8 @@ class Words:
 
     def __init__(self, column: pa.Array, at_marks: bool = False, hashes: bool = True):
         raw, self.offsets = column_bytes(column)
-        self.data = LOWER[raw]
-        gap = (_MARK if at_marks else _BLANK)[raw]
+        self.data = _mapped(raw, LOWER)
+        gap = _mapped(raw, _MARK if at_marks else _BLANK)
         inside = np.zeros(len(raw) + 1, bool)
         inside[:-1] = ~gap
         fresh = inside[:-1].copy()
@@ -77,9 +84,16 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)
         if hashes:
             up, down = _power(len(raw))
-            total = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(BYTE_HASH[self.data] * up, out=total[1:])
-            self.hashes = mixed((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+            total, before = np.zeros(_STEP + 1, np.uint64), np.zeros(1, np.uint64)
+            sums = np.empty(len(self.starts), np.uint64), np.empty(len(self.starts), np.uint64)
+            for a in range(0, len(raw), _STEP):
+                b = min(a + _STEP, len(raw))
+                np.cumsum(BYTE_HASH[self.data[a:b]] * up[a:b], out=total[1 : b - a + 1])
+                for at, out, lo in ((self.starts, sums[0], a), (self.ends, sums[1], a + 1)):
+                    i, j = np.searchsorted(at, (lo, lo + b - a))
+                    out[i:j] = total[at[i:j] - a] + before
+                before = before + total[b - a]
+            self.hashes = mixed((sums[1] - sums[0]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,6 +23,8 @@ TERMS = 1 << 15
 DIMENSIONS = 64
 #: Words in a block; windows begin at blocks and hold whole blocks.
 BLOCK = 8
+#: Terms with so few words in a slice are added up many at a time, in groups of GROUP.
+FEW, GROUP = 8, 2048
 #: Terms in a piece of a matrix that tasks exchange.
 PART = 512
 #: Items that are searched at a time: what a task holds of the benchmark.
@@ -74,6 +76,35 @@ def term_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return table[1:], int(table[0])
 
 
+def _add_products(total: np.ndarray, z: np.ndarray, block: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+    """Add to each term's row of ``total`` the weighted rows of ``z`` of its words' blocks."""
+    # words in the order of their terms
+    order = np.argsort(term.astype(np.uint16), kind="stable")
+    term, block, weight = term[order], block[order], weight[order]
+    first = np.flatnonzero(np.diff(term, prepend=-1))
+    count = np.diff(np.append(first, len(term)))
+    # terms of few words: all their first words, then all their second ones and so on
+    few = np.flatnonzero(count <= FEW)
+    few = few[np.argsort(-count[few], kind="stable")]
+    for a in range(0, len(few), GROUP):
+        at, words = first[few[a : a + GROUP]], count[few[a : a + GROUP]]
+        others = np.zeros((len(at), z.shape[1]), np.float32)
+        for k in range(1, words[0]):
+            word = at[: np.count_nonzero(words > k)] + k
+            others[: len(word)] += np.take(z, block[word], axis=0, mode="clip") * weight[word, None]
+        total[term[at]] += np.take(z, block[at], axis=0, mode="clip") * weight[at, None] + others
+    # the others: one dimension after the other, whose numbers stay in the cache
+    many = np.flatnonzero(count > FEW)
+    if len(many):
+        held = np.repeat(count > FEW, count)
+        block, weight = block[held], weight[held]
+        begin = np.cumsum(count[many]) - count[many]
+        sums = np.empty((z.shape[1], len(many)), np.float32)
+        for d, column in enumerate(np.ascontiguousarray(z.T)):
+            np.add.reduceat(np.take(column, block, mode="clip") * weight, begin, out=sums[d])
+        total[term[first[many]]] += sums.T
+
+
 def _products(docs: DataFrame, idf: np.ndarray, seed: int) -> DataFrame:
     """(first, sums): for each task the product of its passages, there and back, with the random matrix, in pieces of PART terms."""
 
@@ -81,7 +112,7 @@ def _products(docs: DataFrame, idf: np.ndarray, seed: int) -> DataFrame:
         # a block shorter than BLOCK words is filled up with one more term, which weighs nothing
         weighted = np.zeros((TERMS + 1, DIMENSIONS), np.float32)
         weighted[:-1] = np.random.default_rng(seed).standard_normal((TERMS, DIMENSIONS)).astype(np.float32) * idf[:, None]
-        total = np.zeros((DIMENSIONS, TERMS), np.float32)
+        total = np.zeros((TERMS, DIMENSIONS), np.float32)
         for batch in slices(batches, "text", 1_000_000):
             words = Words(batch.column("text"), at_marks=True)
             starts, _ = _blocks(words)
@@ -93,14 +124,8 @@ def _products(docs: DataFrame, idf: np.ndarray, seed: int) -> DataFrame:
             for k in [*range(1, BLOCK), 0]:
                 z += np.take(weighted, np.where(k < length, t[np.minimum(starts + k, len(t) - 1)], TERMS), axis=0, mode="clip")
             z /= np.maximum(np.add.reduceat(idf[t] ** 2, starts), 1e-9)[:, None]
-            # words in the order of their terms; one dimension after the other, whose numbers stay in the cache
-            order = np.argsort(t.astype(np.uint16), kind="stable")
-            first = np.flatnonzero(np.diff(t[order], prepend=-1))
-            own, block, weight = t[order][first], np.repeat(np.arange(len(starts)), length)[order], idf[t[order]]
-            for d, column in enumerate(np.ascontiguousarray(z.T)):
-                total[d, own] += np.add.reduceat(np.take(column, block, mode="clip") * weight, first)
+            _add_products(total, z, np.repeat(np.arange(len(starts)), length), t, idf[t])
         if total.any():
-            total = np.ascontiguousarray(total.T)
             yield pa.RecordBatch.from_arrays([pa.array(range(0, TERMS, PART), pa.int32()), pa.array([total[i : i + PART].tobytes() for i in range(0, TERMS, PART)], pa.binary())], ["first", "sums"])
 
     # each task sends one matrix, so there are no more tasks than two for each core, however many files the documents are in
@@ -190,6 +215,35 @@ class _Rare:
         return item[enough], key[begin][enough] % blocks
 
 
+class _Tokens:
+    """The benchmark's words: their number by hash, from a table of the hashes' upper bits, and how many words of an item a region holds."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, of = np.unique(hashes, return_inverse=True)
+        self.of = of.reshape(-1)
+        bits = min(max(len(self.hashes).bit_length() + 2, 8), 20)
+        self.shift = np.uint64(64 - bits)
+        upper = (self.hashes >> self.shift).astype(np.int64)
+        self.begin = np.searchsorted(upper, np.arange(1 << bits))
+        self.most = int(np.bincount(upper).max(initial=0))
+        self.padded = np.append(self.hashes, np.uint64(2**64 - 1))
+        self.seen = np.zeros(len(self.hashes) + 1, bool)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash; of one that is not here, how many there are."""
+        at = np.take(self.begin, (hashes >> self.shift).astype(np.int64))
+        for _ in range(self.most):
+            at += np.take(self.padded, at) < hashes
+        return np.where((np.take(self.padded, at) == hashes) & (at < len(self.hashes)), at, len(self.hashes))
+
+    def held(self, text: np.ndarray, region: np.ndarray) -> int:
+        """How many words of ``text`` are somewhere in ``region``, both by number."""
+        self.seen[region] = True
+        n = np.count_nonzero(self.seen[text])
+        self.seen[region] = False
+        return n
+
+
 def _runs(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all stretches [begin, end), one after the other, and where each stretch starts in them."""
     length = end - begin
@@ -227,14 +281,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, space: LatentSpace, cosine
                         vectors.append(v / max(float(np.linalg.norm(v)), 1e-9))
             owners, lengths = np.array(owners, np.int64), np.array(lengths, np.int64)
             vectors = np.array(vectors, np.float32).reshape(-1, DIMENSIONS)
-            tokens, token_of = np.unique(q.hashes, return_inverse=True)
+            tokens = _Tokens(q.hashes)
             sizes = np.diff(q.first)
             # words around a window that count as well, in blocks; the longest region of an item
             wide = np.where(sizes <= PIECE, 1, -(-sizes // BLOCK)) + 1
             span = np.zeros(len(sizes), np.int64)
             np.maximum.at(span, owners, lengths + 2 * wide[owners])
             piece_first = np.searchsorted(owners, np.arange(len(sizes) + 1))
-            rare = _Rare(q.first, token_of, len(tokens), -space.idf[(tokens & np.uint64(TERMS - 1)).astype(np.int64)], least)
+            longest = np.zeros(len(sizes), np.int64)
+            np.maximum.at(longest, owners, lengths)
+            texts = [tokens.of[a:b] for a, b in zip(q.first[:-1], q.first[1:], strict=True)]
+            rare = _Rare(q.first, tokens.of, len(tokens.hashes), -space.idf[(tokens.hashes & np.uint64(TERMS - 1)).astype(np.int64)], least)
             for batch in slices(batches, "text", 1_000_000):
                 words = Words(batch.column("text"), at_marks=True)
                 starts, first = _blocks(words)
@@ -242,10 +299,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, space: LatentSpace, cosine
                     continue
                 row = np.repeat(np.arange(batch.num_rows), np.diff(first))
                 best: dict[tuple[int, int], tuple] = {}
-                place = np.minimum(np.searchsorted(tokens, words.hashes), len(tokens) - 1)
-                place = np.where(tokens[place] == words.hashes, place, len(tokens))
+                place = tokens.numbers(words.hashes)
                 block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(place))))
                 item, head = rare.regions(place, block, len(starts), span)
+                # only stretches that hold enough of the item with all the words that a window near them may count
+                around = np.where(sizes <= PIECE, BLOCK, sizes)[item]
+                begin = np.maximum(starts[np.maximum(head - wide[item] - longest[item], 0)] - around, 0)
+                end = starts[np.minimum(head + wide[item], len(starts) - 1)] + longest[item] * BLOCK + around
+                enough = [tokens.held(texts[i], place[a:b]) >= least * len(texts[i]) for i, a, b in zip(item.tolist(), begin.tolist(), end.tolist(), strict=True)]
+                enough = np.array(enough, bool)
+                item, head = item[enough], head[enough]
                 # every window whose region may reach such a stretch, for every piece of the item
                 pieces, at = _runs(piece_first[item], piece_first[item + 1])
                 item, head = (np.repeat(x, np.diff(np.append(at, len(pieces)))) for x in (item, head))
@@ -264,9 +327,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, space: LatentSpace, cosine
                     begin = np.maximum(words.first[row[w]], starts[w] - around)
                     end = np.minimum(words.first[row[w] + 1], starts[w] + length * BLOCK + around)
                     for c in np.flatnonzero(close >= cosine).tolist():
-                        j, region = i[c], words.hashes[begin[c] : end[c]]
-                        text = q.hashes[q.first[j] : q.first[j + 1]]
-                        if np.isin(text, region).sum() < least * len(text):
+                        j, region = i[c], place[begin[c] : end[c]]
+                        text = texts[j]
+                        if tokens.held(text, region) < least * len(text):
                             continue
                         share = common_subsequence(text, region) / len(text)
                         if share < least:

@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chunks, language, latent, pages, pii
+from ledgerlens.llm import chunks, kernels, language, latent, pages, pii
+from ledgerlens.llm.kernels import Words
 
 DOCS = "doc_id long, text string, spans string, score string, row string"
 WORDS = [f"{a}{b}{c}" for a in ("ba", "ko", "ti", "ne", "ru") for b in ("l", "m", "st", "v") for c in ("an", "ere", "io", "us", "y")]
@@ -214,3 +215,69 @@ def test_the_fit_exchanges_a_bounded_number_of_matrices(spark):
     whole = latent._products(df.coalesce(1), idf, 7).toPandas()
     total = lambda table: sum(np.frombuffer(b, np.float32).astype(float).sum() for b in table["sums"])
     assert abs(total(sums) - total(whole)) < 1e-2
+
+
+def test_benchmark_words_are_numbered_and_counted():
+    """As a search for each word and a comparison of all with all, hashes that share their upper bits or are the greatest included."""
+    rng = np.random.default_rng(2)
+    known = rng.integers(0, 2**64, 3000, np.uint64)
+    known[:40] = (known[0] & ~np.uint64(63)) + np.arange(40, dtype=np.uint64)
+    top = np.uint64(2**64 - 1)
+    for own in (known, np.append(known, top), known[:1], known[:0]):
+        tokens = latent._Tokens(own)
+        asked = np.concatenate([own, known, rng.integers(0, 2**64, 5000, np.uint64), np.array([0, top], np.uint64)])
+        place = tokens.numbers(asked)
+        listed = {h: i for i, h in enumerate(np.unique(own).tolist())}
+        assert place.tolist() == [listed.get(h, len(listed)) for h in asked.tolist()]
+        assert np.array_equal(tokens.numbers(own), tokens.of)
+    tokens = latent._Tokens(known)
+    for _ in range(50):
+        text, region = rng.choice(known[:30], 20), np.concatenate([rng.choice(known[:60], 25), rng.integers(0, 2**64, 5, np.uint64)])
+        assert tokens.held(tokens.numbers(text), tokens.numbers(region)) == np.isin(text, region).sum()
+    assert not tokens.seen.any()
+
+
+def test_products_of_rare_and_frequent_terms_are_sums_over_their_words():
+    rng = np.random.default_rng(3)
+    term = np.concatenate([np.repeat(np.arange(40), np.arange(40)), rng.integers(1000, 30_000, 9000)])
+    rng.shuffle(term)
+    z, block, weight = rng.standard_normal((700, 64)).astype(np.float32), rng.integers(0, 700, len(term)), rng.random(len(term)).astype(np.float32)
+    total, want = np.ones((latent.TERMS, 64), np.float32), np.ones((latent.TERMS, 64))
+    latent._add_products(total, z, block, term, weight)
+    np.add.at(want, term, z[block].astype(float) * weight[:, None])
+    assert np.abs(total - want).max() < 1e-4
+
+
+def test_words_of_long_texts_have_the_hash_of_short_ones():
+    """Bytes are added up in steps; words over the end of a step are like any others."""
+    words = ["%d%s" % (i, "x" * (i % 9)) for i in range(40_000)] + ["é" * 40_000, "z"]
+    one = Words(pa.array([" ".join(words), None, "z"]))
+    each = Words(pa.array(words))
+    assert len(one.data) > 4 * kernels._STEP and np.array_equal(one.hashes, np.append(each.hashes, each.hashes[-1]))
+    assert one.first.tolist() == [0, len(words), len(words), len(words) + 1] and len(np.unique(each.hashes)) == len(set(words))
+
+
+def test_no_vectors_for_places_without_most_words_of_an_item(spark, monkeypatch):
+    """A few of an item's rare words alone make no window worth its vector; the item itself and a part of it do."""
+    item = [f"word{i}" for i in range(30)]
+    other = " ".join(f"other{i % 50}" for i in range(400))
+    texts = [f"{other} {' '.join(item[k : k + 6])} {other}" for k in range(24)]
+
+    class Rows:  # runs the search here instead of in a worker
+        def __init__(self, texts):
+            self.batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return [row for batch in run(iter([self.batch])) for row in batch.to_pylist()]
+
+    rng = np.random.default_rng(4)
+    space = latent.LatentSpace(np.ones(latent.TERMS, np.float32), rng.standard_normal((latent.TERMS, latent.DIMENSIONS)).astype(np.float32))
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    made, runs = [], latent._runs
+    monkeypatch.setattr(latent, "_runs", lambda a, b: (lambda out: (made.append(len(out[0])), out)[1])(runs(a, b)))
+    assert latent.find_leaks(Rows(texts), bench, space) == [] and sum(made) == 0
+    found = latent.find_leaks(Rows([*texts, f"{other} {' '.join(item)} {other}", " ".join(item[9:])]), bench, space)
+    assert [(r["doc_id"], r["item_id"], r["lcs_share"]) for r in found] == [(24, 7, 1.0), (25, 7, 0.7)] and sum(made) > 0
