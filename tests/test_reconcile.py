@@ -1,8 +1,11 @@
+import math
 import random
 
 import pytest
 from helpers import gold, rows
+from pyspark.sql import functions as F
 
+from ledgerlens.functions import text
 from ledgerlens.operators import entities, matching, receipts, reconcile
 from ledgerlens.params import MatchParams
 
@@ -321,3 +324,38 @@ def test_orphans_take_the_values_of_all_sources_once(spark):
     got = reconcile.orphan_transactions(a.unionByName(b), ["credit_card", "bank"])
     assert rows(got, "txn_id") == [("a2",), ("a3",), ("b2",), ("b3",)]
     assert "SortAggregate" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("similarity", ["levenshtein", "sequence"])
+def test_few_names_of_a_crowded_day_are_compared(spark, monkeypatch, similarity):
+    """Pairs were compared name by name, in Python by way of a written table of name pairs. Now the characters in common decide first, and the
+    result is the same whether the most promising candidate is looked for before or not."""
+    written = []
+    plain = receipts.cut
+    monkeypatch.setattr(receipts, "cut", lambda df: written.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or plain(df))
+    rng = random.Random(5)
+    names = ["Acme", " ACME", "Acme Co", "Emca", "", "aaaaaaaa", "aaaaaa", "Z\u00fcrich 12", "Zurich 21", None, "Supplier 0012", "Supplier 1200"]
+    txns = [(f"t{i}", rng.choice([99.0, 100.0, 101.5, 103.0]), rng.choice(names), "1", rng.choice([2, 2.5, 3, 4, 9])) for i in range(150)]
+    recs = [(f"r{i}", rng.choice([98.0, 100.0, 102.0]), rng.choice(names), "1", rng.choice([1, 2, 3.25, 5])) for i in range(60)]
+    columns = ["receipt_id", "matched_transaction_id", "confidence", "amount_delta", "date_delta_days"]
+    got = []
+    for crowded in (0, 1e9):
+        monkeypatch.setattr(receipts, "CROWDED", crowded)
+        written.clear()
+        got.append(rows(receipts.match_receipts(gold(spark, recs), gold(spark, txns), similarity=similarity), *columns))
+        searched = [plan for c, plan in written if c == ["rid", "best"]]
+        assert searched and all("bit_count" in plan for plan in searched)
+        assert not [c for c, _ in written if "sim" in c]
+    assert got[0] == got[1] and len(got[0]) == 60
+
+    def score(rec, txn):
+        if abs(rec[4] - txn[4]) > 7 or not rec[1] * (1 - 0.05) <= txn[1] <= rec[1] * (1 + 0.05):
+            return None
+        days = abs(math.floor(txn[4] - rec[4]))
+        return round((1 - abs(rec[1] - txn[1]) / rec[1]) * 0.4 + (1 - days / 7) * 0.3 + alike[rec[2], txn[2]] * 0.3, 9)
+
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    ratio = text.levenshtein_ratio if similarity == "levenshtein" else text.sequence_ratio
+    alike = {(r.a, r.b): r.s for r in pairs.withColumn("s", ratio(F.col("a"), F.col("b"))).collect()}
+    best = {rec[0]: max((s for s in (score(rec, t) for t in txns) if s is not None), default=0.0) for rec in recs}
+    assert {r[0]: r[2] for r in got[0]} == pytest.approx(best, abs=0.0006)
